@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rulewake.llm import byte_bpe, packing
+from rulewake.llm import byte_bpe, formatting_copies, packing, structure
 from rulewake.session import read
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
+    return formatting_copies.copies(own_text, "document_id", "comment").select(F.col("first_id").alias("first_document_id"), F.col("id").alias("document_id"))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
+    return formatting_copies.collapsed(own_text, "document_id", "comment").select(F.col("first_id").alias("document_id"), F.col("text").alias("comment"), "n_copies")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(read(spark, sf_dir, "documents"))
 
@@ -20,6 +31,22 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p9_containers(spark, sf_dir))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.quality(read(spark, sf_dir, "documents")).filter("prose_share < 0.5").select("doc_id")
+
+
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.quality(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_collapsed": p5_collapsed,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_quality": p10_quality,
+}
 
 SQL: dict[str, str] = {}

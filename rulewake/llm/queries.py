@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewake.llm import byte_bpe, formatting_copies, packing, structure
+from rulewake.llm import annotators, byte_bpe, formatting_copies, packing, structure
 from rulewake.session import read
 
 
+#: The labels of the audit, in the order in which ties are settled.
+LABELS = ["SURVIVED-unchanged", "SURVIVED-edited", "MODIFIED", "DROPPED", "NEW"]
+OWN_COLUMNS = ["rater_1_label", "rater_2_label", "classifier_label", "adjudicated_label"]
+
+
+def _audit_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rater, label, at) of all annotators, each column of the audit table being one."""
+    wide = read(spark, sf_dir, "outcome_audit_reconciled").select(F.col("obligation_id").alias("item_id"), *OWN_COLUMNS)
+    own = wide.unpivot("item_id", OWN_COLUMNS, "rater", "label").withColumn("at", F.lit(None).cast("timestamp_ntz"))
+    more = read(spark, sf_dir, "audit_labels").select(F.col("obligation_id").alias("item_id"), F.col("rater_id").alias("rater"), "label", F.col("labelled_at").alias("at"))
+    return own.unionByName(more)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, model = annotators.resolved(_audit_votes(spark, sf_dir), LABELS)
+    best = annotators.consensus(table, model).select(F.col("item_id").alias("obligation_id"), F.col("label").alias("best"))
+    given = annotators.normal(F.col("classifier_label"), LABELS)
+    own = read(spark, sf_dir, "outcome_audit_reconciled").select("obligation_id", given.alias("given")).filter("obligation_id IS NOT NULL AND given IS NOT NULL")
+    # repeated rows of an obligation: the last label in the list counts, as among its votes
+    own = own.groupBy("obligation_id").agg(F.max_by("given", F.array_position(F.array(*map(F.lit, LABELS)), F.col("given"))).alias("given"))
+    return own.join(best, "obligation_id").filter(F.col("best") != F.col("given")).select("obligation_id")
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, model = annotators.resolved(_audit_votes(spark, sf_dir), LABELS)
+    return annotators.consensus(table, model).withColumnRenamed("item_id", "obligation_id")
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = annotators.resolved(_audit_votes(spark, sf_dir), LABELS)
+    return spark.createDataFrame(annotators.reliability(model), "rater string, skill double, accuracy double, bits double")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
     return formatting_copies.copies(own_text, "document_id", "comment").select(F.col("first_id").alias("first_document_id"), F.col("id").alias("document_id"))
@@ -40,6 +73,9 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_consensus": p2_consensus,
+    "p2_reliability": p2_reliability,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p8_ids": p8_ids,

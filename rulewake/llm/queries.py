@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewake.llm import annotators, byte_bpe, formatting_copies, packing, structure
+from rulewake.llm import annotators, byte_bpe, encoding_repair, formatting_copies, packing, structure
 from rulewake.session import read
 
 
@@ -42,6 +42,15 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(annotators.reliability(model), "rater string, skill double, accuracy double, bits double")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.examined(read(spark, sf_dir, "comments"), "document_id", ["comment", "title"]).select(F.col("id").alias("document_id"), "field").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoding_repair.examined(read(spark, sf_dir, "comments"), "document_id", ["comment", "title"])
+    return found.select(F.col("id").alias("document_id"), "field", "chain", "restored", "gain")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
     return formatting_copies.copies(own_text, "document_id", "comment").select(F.col("first_id").alias("first_document_id"), F.col("id").alias("document_id"))
@@ -76,6 +85,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
     "p2_reliability": p2_reliability,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p8_ids": p8_ids,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewake.llm import annotators, byte_bpe, encoding_repair, formatting_copies, packing, structure
+from rulewake.llm import annotators, byte_bpe, cut_ends, encoding_repair, formatting_copies, packing, structure
 from rulewake.session import read
 
 
@@ -61,6 +61,18 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_copies.collapsed(own_text, "document_id", "comment").select(F.col("first_id").alias("document_id"), F.col("text").alias("comment"), "n_copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_ends.found(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source").select(F.col("id").alias("document_id"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_ends.rates(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source").withColumnRenamed("source", "text_source")
+
+
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_ends.limits(cut_ends.rows(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source")).withColumnRenamed("source", "text_source")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(read(spark, sf_dir, "documents"))
 
@@ -89,6 +101,9 @@ QUERIES = {
     "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
+    "p6_limits": p6_limits,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,

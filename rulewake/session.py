@@ -61,6 +61,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled_texts(texts: DataFrame, column: str, rows: int, total: int) -> list[str]:
+    """About `rows` distinct non-null texts of a table of `total` rows, chosen by a hash of the text, so that copies count once.
+
+    Each task passes on only what the hash selects, and copies are combined before they move: nothing grows with the table.
+    """
+    share = min(1.0, rows / max(1, total))
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = texts.select(F.col(column).alias("text")).filter(F.col("text").isNotNull() & chosen)
+    return sorted(r[0] for r in found.distinct().limit(2 * rows).collect())
+
+
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """No rows of a schema."""
     return spark.createDataFrame([], schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewake.session import prepare
+from rulewake.session import prepare, sampled_texts
 
 #: Legacy encodings by which UTF-8 bytes may have been read.
 ENCODINGS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman")
@@ -56,6 +56,9 @@ _PAIRS = "|".join(f"[{_set(c for c, b in m.items() if 0xC2 <= b <= 0xF4)}][{_set
 REFERENCE = r"&#(?:1[2-9]\d|[2-9]\d\d|\d{4,6});"
 SUSPICIOUS = f"{_PAIRS}|\\ufffd|{REFERENCE}"
 BEYOND_ASCII = r"[^\x00-\x7f]"
+#: What every suspicious text matches; a plain class that the JVM tests fast.
+MAYBE = r"[^\x00-\x7f]{2}|\x{fffd}|&#\d{3}"
+_suspicious = re.compile(SUSPICIOUS).search
 _reference = re.compile(r"&#(\d{3,6});")
 _sequences = {
     e: re.compile("|".join(f"[{_set(c for c, b in m.items() if low <= b <= high)}]" + f"[{_set(c for c, b in m.items() if b < 0xC0)}]{{{n}}}" for low, high, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))))
@@ -172,19 +175,23 @@ def _long(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
 def trained(df: DataFrame, id_column: str, fields: list[str]) -> Model:
     """The model of all clean records (those with characters beyond ASCII and nothing suspicious), and its margin."""
     prepare(df.sparkSession)
-    clean = _long(df, id_column, fields).filter(F.col("text").rlike(BEYOND_ASCII) & ~F.col("text").rlike(SUSPICIOUS))
+    beyond = _long(df, id_column, fields).filter(F.octet_length("text") > F.length("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(grams(text))
+                if not _suspicious(text):
+                    total.update(grams(text))
+                    total[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    counted = clean.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = Model.of({r[0]: float(r[1]) for r in counted.orderBy(F.desc("n"), "gram").limit(MODEL_GRAMS).collect()})
-    sample = [r[0] for r in clean.select(F.substring("text", 1, 2000)).orderBy(F.xxhash64("id", "field"), "id").limit(VALIDATION_ROWS).collect()]
-    model.margin = validated(model, sample)
+    counted = beyond.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams_kept = {r[0]: float(r[1]) for r in counted.orderBy(F.desc("n"), "gram").limit(MODEL_GRAMS).collect()}
+    texts = int(grams_kept.pop("", 0))
+    model = Model.of(grams_kept)
+    sample = sampled_texts(beyond.filter(~F.col("text").rlike(MAYBE)), "text", VALIDATION_ROWS, texts)
+    model.margin = validated(model, [t for t in sample if not _suspicious(t)])
     return model
 
 
@@ -208,18 +215,15 @@ def examined(df: DataFrame, id_column: str, fields: list[str], model: Model | No
     Values without anything suspicious never leave the JVM. Null values and null ids are no cases. A repeated row comes out once.
     """
     model = trained(df, id_column, fields) if model is None else model
-    rows = _long(df, id_column, fields).filter(F.col("text").rlike(SUSPICIOUS))
+    rows = _long(df, id_column, fields).filter(((F.octet_length("text") > F.length("text")) | F.col("text").contains("&#")) & F.col("text").rlike(MAYBE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
         for b in batches:
             out = []
             for i, f, text in zip(b["id"], b["field"], b["text"]):
-                found = spots(text, model)
-                if found:
+                if _suspicious(text) and (found := spots(text, model)):
                     out.append((i, f, *found))
             yield pd.DataFrame(out, columns=["id", "field", "chain", "restored", "gain"])
-        known.clear()
 
     return rows.mapInPandas(run, "id string, field string, chain string, restored string, gain double").distinct()
 

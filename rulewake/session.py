@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,29 @@ from pyspark.sql import types as T
 ARROW_ROWS = 2000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's source to the Python workers once per session, whatever their path is. Only code travels this way, from the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_rulewake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="rulewake-code-")) / "rulewake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._rulewake_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder. Parquet gives pruning and pushdown; nothing is read before an action."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def prepare(spark: SparkSession) -> None:
     """Settings for Arrow stages. Only session-level options that never change a result."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

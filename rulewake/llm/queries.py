@@ -51,26 +51,29 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("document_id"), "field", "chain", "restored", "gain")
 
 
+def _own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that say something themselves, instead of pointing to an attachment."""
+    return read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
-    return formatting_copies.copies(own_text, "document_id", "comment").select(F.col("first_id").alias("first_document_id"), F.col("id").alias("document_id"))
+    return formatting_copies.copies(_own_text(spark, sf_dir), "document_id", "comment").select(F.col("first_id").alias("first_document_id"), F.col("id").alias("document_id"))
 
 
 def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own_text = read(spark, sf_dir, "comments").filter(~F.coalesce("is_attachment_only", F.lit(False)))
-    return formatting_copies.collapsed(own_text, "document_id", "comment").select(F.col("first_id").alias("document_id"), F.col("text").alias("comment"), "n_copies")
+    return formatting_copies.collapsed(_own_text(spark, sf_dir), "document_id", "comment").select(F.col("first_id").alias("document_id"), F.col("text").alias("comment"), "n_copies")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.found(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source").select(F.col("id").alias("document_id"))
+    return cut_ends.found(_own_text(spark, sf_dir), "document_id", "comment", "text_source").select(F.col("id").alias("document_id"))
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.rates(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source").withColumnRenamed("source", "text_source")
+    return cut_ends.rates(_own_text(spark, sf_dir), "document_id", "comment", "text_source").withColumnRenamed("source", "text_source")
 
 
 def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.limits(cut_ends.rows(read(spark, sf_dir, "comments"), "document_id", "comment", "text_source")).withColumnRenamed("source", "text_source")
+    return cut_ends.limits(cut_ends.rows(_own_text(spark, sf_dir), "document_id", "comment", "text_source")).withColumnRenamed("source", "text_source")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

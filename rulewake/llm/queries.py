@@ -73,7 +73,8 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.limits(cut_ends.rows(_own_text(spark, sf_dir), "document_id", "comment", "text_source")).withColumnRenamed("source", "text_source")
+    texts = cut_ends.rows(_own_text(spark, sf_dir), "document_id", "comment", "text_source")
+    return cut_ends.limits(cut_ends.measured(texts)).withColumnRenamed("source", "text_source")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

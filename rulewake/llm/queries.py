@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewake.llm import annotators, byte_bpe, cut_ends, encoding_repair, formatting_copies, packing, structure
+from rulewake.llm import annotators, byte_bpe, cut_ends, encoding_repair, formatting_copies, name_variants, packing, structure
 from rulewake.session import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = name_variants.linked(read(spark, sf_dir, "comments"), "document_id", "title")
+    return name_variants.pairs(entities).select(F.col("id_a").alias("document_id_a"), F.col("id_b").alias("document_id_b"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.linked(read(spark, sf_dir, "comments"), "document_id", "title").withColumnRenamed("id", "document_id")
+
+
 #: The labels of the audit, in the order in which ties are settled.
 LABELS = ["SURVIVED-unchanged", "SURVIVED-edited", "MODIFIED", "DROPPED", "NEW"]
 OWN_COLUMNS = ["rater_1_label", "rater_2_label", "classifier_label", "adjudicated_label"]
@@ -98,6 +107,8 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_consensus": p2_consensus,
     "p2_reliability": p2_reliability,

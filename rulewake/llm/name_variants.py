@@ -390,7 +390,7 @@ def resolved(givens: list[str], counts: list[int]) -> list[str]:
                 continue
             near = [] if certain else [c for c in centres if alike(g, c) >= WORD]
             if not near and not certain:
-                near = [c for _, c in sorted((-alike(g, c), c) for c in _full_names if c[0] == g[0] and alike(g, c) >= 0.93)]
+                near = [c for _, c in sorted((-alike(g, c), c) for c in _full_names if c[0] == g[0] and alike(g, c) >= 0.9)]
             out[i] = near[0] if near else g
             if out[i] not in centres:
                 centres.append(out[i])
@@ -430,7 +430,7 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     counted = titles.select("title").mapInPandas(tokens, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
     total = top.pop("", 0)
-    vocabulary = Vocabulary({w: n for w, n in top.items() if n >= max(3, VOCABULARY_SHARE * total) and w not in _nobody and w not in _opening and w not in _title})
+    vocabulary = Vocabulary({w: n for w, n in top.items() if n >= max(3, VOCABULARY_SHARE * total) and w not in _nobody - {"public"} and w not in _opening - {"public"} and w not in _title})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

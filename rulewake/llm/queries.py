@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewake.llm import annotators, byte_bpe, cut_ends, encoding_repair, formatting_copies, name_variants, packing, structure
+from rulewake.llm import annotators, byte_bpe, cut_ends, encoding_repair, formatting_copies, name_variants, packing, personal_data, structure
 from rulewake.session import read
 
 
@@ -86,6 +86,15 @@ def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_ends.limits(cut_ends.measured(texts)).withColumnRenamed("source", "text_source")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.kinds(read(spark, sf_dir, "comments"), "document_id", "comment").withColumnRenamed("id", "document_id")
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.examined(read(spark, sf_dir, "comments"), "document_id", "comment")
+    return found.select(F.col("id").alias("document_id"), F.array_join("kinds", ",").alias("kinds"), "n_spans", F.col("redacted").alias("comment")).distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(read(spark, sf_dir, "documents"))
 
@@ -119,6 +128,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p6_limits": p6_limits,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,

@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from rulewake.session import prepare, stored
 
 Q = 3
 #: Pairs of cores this similar (Jaccard of q-grams) must meet in some band with this probability; bands are as high as that allows, up to MOST bands.
-SIMILAR, RECALL, MOST = 0.6, 0.95, 40
+SIMILAR, RECALL, MOST = 0.6, 0.95, 24
 #: Least similarity of two words, and of two cores, by which they are spellings of each other.
 WORD, CORE = 0.86, 0.9
 #: Share of organisations' titles from which on a word is vocabulary rather than a name, and the most words of it.
@@ -93,12 +94,15 @@ def bare(word: str) -> str:
     return word.lower().rstrip(".").replace("'", "")
 
 
+_introduced = re.compile(r"(?:(?:" + "|".join(sorted(_opening, key=len, reverse=True)) + r")\b[\s:]*)+(?:[–—-]+\s*)?", re.IGNORECASE)
+_closed = re.compile(r"\s*[–—-]+\s*(?:comments?|letter|staff)\s*$", re.IGNORECASE)
+
+
 def opened(title: str) -> str:
     """The title without the words that introduce or close it."""
-    t = plain(title).strip()
-    t = re.sub(r"\s*[–—-]+\s*(?:comments?|letter|staff)\s*$", "", t, flags=re.IGNORECASE)
-    m = re.match(r"(?:(?:" + "|".join(sorted(_opening, key=len, reverse=True)) + r")\b[\s:]*)+(?:[–—-]+\s*)?", t, re.IGNORECASE)
-    if m and (m.end() < len(t)):
+    t = _closed.sub("", plain(title).strip())
+    m = _introduced.match(t)
+    if m and m.end() < len(t):
         t = t[m.end() :]
     previous = None
     while previous != t:
@@ -207,7 +211,7 @@ class Vocabulary:
             if short:
                 return [min(short, key=lambda w: (w not in _kind, len(w), w))]
         if len(word) > 3:
-            near = sorted((edits(word, w, 2), w) for w in self.words if w[0] == word[0] or w[-1] == word[-1])
+            near = sorted((edits(word, w, 2), w) for w in self.words if w[0] == word[0] and abs(len(w) - len(word)) <= 2)
             if near and near[0][0] <= (1 if len(word) < 7 else 2):
                 return [near[0][1]]
         return [word]
@@ -220,6 +224,12 @@ def short_name(t: str) -> re.Match | None:
     return re.search(r"\b[A-Z]{3,5}$" if not (t.isupper() or t.islower()) else r"\b[A-Za-z]{3,4}$", t)
 
 
+@lru_cache(100_000)
+def kind_like(word: str) -> bool:
+    """Whether a word is a kind of organisation with a typing error behind its first letter."""
+    return len(word) > 3 and any(word[0] == k[0] and edits(word, k, 2) <= (1 if len(k) < 7 else 2) for k in _kind if len(k) > 4 and abs(len(k) - len(word)) <= 2)
+
+
 def organisation(title: str) -> bool:
     """Whether some word of a title is, or is short for, a kind of organisation, or an acronym stands for subject and kind."""
     t = opened(title)
@@ -227,7 +237,7 @@ def organisation(title: str) -> bool:
     full = [ABBREVIATIONS.get(w, w) for w in found]
     if any(w in _kind for w in full):
         return not (len(found) <= 4 and all(len(w) == 1 for w, f in zip(found, full) if f in _kind))
-    if any(len(w) > 3 and any(edits(w, k, 2) <= (1 if len(k) < 7 else 2) for k in _kind if len(k) > 4) for w in found):
+    if any(kind_like(w) for w in found):
         return True
     return found[-1:] == ["coal"] or len(found) > 2 and "coal" in found or short_name(t) is not None
 
@@ -295,13 +305,23 @@ def _person(t: str) -> tuple[str, list[str], str, str] | None:
 
 
 def grams(sort: str, core: list[str], code: str) -> list[str]:
-    """Padded q-grams of the core's words, and one feature for each part of the code."""
-    out = {f"{sort}{p[i : i + Q]}" for w in core for p in (f"{'^' * (Q - 1)}{w}{'$' * (Q - 1)}",) for i in range(len(p) - Q + 1)}
-    if code:
-        out |= {f"{i}:{part}" for i, part in enumerate(code.split("/")[:3])}
+    """Padded q-grams of the core's words. Each carries what the rest of the name must share: a person's the first letters of the
+    other words, an organisation's its surroundings and the first letters of its subject and kind, which an acronym shares.
+    So neither one place's persons nor one place's organisations meet."""
+    out = set()
+    for i, w in enumerate(core):
+        rest = initials(code) if code else "".join(sorted(x[0] for j, x in enumerate(core) if j != i))
+        padded = f"{'^' * (Q - 1)}{w}{'$' * (Q - 1)}"
+        out |= {f"{sort}{rest}|{padded[k : k + Q]}" for k in range(len(padded) - Q + 1)}
     return sorted(out)
 
 
+def initials(code: str) -> str:
+    """The surroundings and the sorted first letters of subject and kind in a code, or of the acronym in their place."""
+    around, subject, kind, short = code.split("/")
+    return around + "/" + "".join(sorted(short or (w[0] for part in (subject, kind) for w in part.split("+") if w)))
+
+
 def curve(similarity: float, bands: int, height: int) -> float:
     """Probability that a pair of this similarity meets in some band."""
     return 1 - (1 - similarity**height) ** bands

@@ -40,7 +40,7 @@ def _engaged(spark, d):
 def a1_obligation_table(spark: SparkSession, d: str) -> DataFrame:
     obligations = rollup.universe(read(spark, d, "verified_obligations"), _matches(spark, d))
     t = rollup.obligation_table(obligations, _matches(spark, d), _kinds(spark, d))
-    return t.select(*(F.round(c, 4).alias(c) if c in ("pct_organizational", "pct_individual", "mean_cosine") else F.col(c) for c in t.columns))
+    return t.select(*(F.round(c, 8).alias(c) if c in ("pct_organizational", "pct_individual", "mean_cosine") else F.col(c) for c in t.columns))
 
 
 def a2_engagement(spark: SparkSession, d: str) -> DataFrame:
@@ -295,8 +295,8 @@ SQL = {
         f AS (SELECT obligation_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE {_STANCE} = 'SUPPORTING') AS s, COUNT(*) FILTER (WHERE {_STANCE} = 'OPPOSING') AS o, COUNT(*) FILTER (WHERE {_STANCE} = 'SUGGESTING_MODIFICATION') AS m,
             COUNT(*) FILTER (WHERE submitter_kind = 'organizational') AS org, COUNT(*) FILTER (WHERE submitter_kind = 'individual') AS ind, AVG(cosine_similarity) AS cos,
             array_to_string(list_sort(list(DISTINCT comment_id) FILTER (WHERE comment_id IS NOT NULL)), ';') AS ids FROM stage4_matches LEFT JOIN kinds USING (comment_id) WHERE addressed GROUP BY 1)
-        SELECT obligation_id, docket_id, COALESCE(n, 0) AS n_comments_addressed, COALESCE(s, 0) AS n_supporting, COALESCE(o, 0) AS n_opposing, COALESCE(m, 0) AS n_modifying, ROUND(org / NULLIF(org + ind, 0), 4) AS pct_organizational,
-            ROUND(ind / NULLIF(org + ind, 0), 4) AS pct_individual, ROUND(cos, 4) AS mean_cosine, COALESCE(ids, '') AS addressing_comment_ids FROM u LEFT JOIN f USING (obligation_id)""",
+        SELECT obligation_id, docket_id, COALESCE(n, 0) AS n_comments_addressed, COALESCE(s, 0) AS n_supporting, COALESCE(o, 0) AS n_opposing, COALESCE(m, 0) AS n_modifying, ROUND(org / NULLIF(org + ind, 0), 8) AS pct_organizational,
+            ROUND(ind / NULLIF(org + ind, 0), 8) AS pct_individual, ROUND(cos, 8) AS mean_cosine, COALESCE(ids, '') AS addressing_comment_ids FROM u LEFT JOIN f USING (obligation_id)""",
     "a2_engagement": f"WITH {_ENGAGE} SELECT obligation_id, n_addressing, n_org, n_ind, ROUND(n_org / GREATEST(n_org + n_ind, 1), 6) AS org_share FROM engage",
     "a3_engagement_rows": f"WITH {_ENGAGE} SELECT obligation_id, n_rows AS n_addressing, n_org, n_ind, ROUND(n_org / GREATEST(n_org + n_ind, 1), 6) AS org_share FROM engage",
     "a4_stance_counts": "SELECT obligation_id, " + ", ".join(f"COUNT(*) FILTER (WHERE {_STANCE} = '{s}') AS {s.lower()}" for s in text.STANCES) + " FROM stage4_matches WHERE addressed GROUP BY 1",

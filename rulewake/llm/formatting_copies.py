@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulewake.session import stored
+
 #: A form is a text of labelled fields; labels are short. Fields stand on lines or between ; and |.
 FIELD = r"^\s*([\p{L}][\p{L}\p{N} '’/_.-]{0,38}?)\s*[:=]\s*(.*)$"
 SEPARATORS = r"[\r\n\x{85}\x{2028}\x{2029};|]+"
@@ -48,19 +50,18 @@ def classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame,
     ids = members.select("id", "raw").distinct()
     counted = ids.groupBy("raw").agg(F.min("id").alias("raw_first"), F.count("*").alias("raw_copies"))
     texts = members.groupBy("raw").agg(F.any_value("text").alias("text"))
-    # one row per distinct text from here on
+    # one row per distinct text from here on; canonicalised once and written, since two later steps read it
     bare = letters(F.col("text"))
-    survivors = texts.join(counted, "raw").select(
-        "raw", "raw_first", "raw_copies", F.when(bare != "", bare).otherwise(F.concat(F.lit("\u0000"), F.hex("raw"))).alias("bare"), fields(F.col("text")).alias("form")
-    )
+    canonical = F.when(bare != "", bare).otherwise(F.concat(F.lit("\u0000"), F.hex("raw")))
+    survivors = texts.join(counted, "raw").select("raw", "raw_first", "raw_copies", canonical.alias("bare"), fields(F.col("text")).alias("form"))
+    survivors = stored(survivors.withColumn("bare_key", F.unhex(F.sha2("bare", 256))), "canonical-texts")
     # The same letters in the same order are the same text, form or not; the smallest field list of such texts stands for all of them.
-    by_letters = survivors.groupBy("bare").agg(F.min("form").alias("form"), F.min("raw_first").alias("first"), F.sum("raw_copies").alias("copies"))
-    canonical = F.coalesce(F.concat(F.lit("\u0001"), "form"), "bare").alias("canonical")
-    groups = by_letters.select(canonical, "first", "copies").groupBy("canonical").agg(F.min("first").alias("first_id"), F.sum("copies").alias("n_copies"))
-    key = by_letters.select(F.sha2("bare", 256).alias("bare_key"), F.sha2(canonical, 256).alias("canonical_key"))
-    named = groups.select(F.sha2("canonical", 256).alias("canonical_key"), "first_id", "n_copies")
-    of_raw = survivors.select("raw", F.sha2("bare", 256).alias("bare_key"))
-    return ids, of_raw.join(key, "bare_key").join(named, "canonical_key").select("raw", "first_id", "n_copies")
+    grouped = survivors.groupBy("bare").agg(F.any_value("bare_key").alias("bare_key"), F.min("form").alias("form"), F.min("raw_first").alias("first_id"), F.sum("raw_copies").alias("n_copies"))
+    by_letters = stored(grouped.drop("bare"), "canonical-groups")
+    forms = by_letters.filter("form IS NOT NULL")
+    by_fields = forms.groupBy("form").agg(F.min("first_id").alias("first_id"), F.sum("n_copies").alias("n_copies"))
+    named = by_letters.filter("form IS NULL").select("bare_key", "first_id", "n_copies").unionByName(forms.select("bare_key", "form").join(by_fields, "form").select("bare_key", "first_id", "n_copies"))
+    return ids, survivors.select("raw", "bare_key").join(named, "bare_key").select("raw", "first_id", "n_copies")
 
 
 def collapsed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

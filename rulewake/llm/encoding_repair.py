@@ -155,16 +155,14 @@ class Model:
         n = sum(found.values())
         return sum(k * self.log(g) for g, k in found.items()) / n if n else math.log(1 / self.total) / 2
 
-    def best(self, text: str) -> tuple[str, str, float] | None:
-        """(chain, text, gain) of the likeliest chain, or None where none changes the text. At a tie the shorter chain stands first."""
+    def best(self, text: str, left: str = "", right: str = "") -> tuple[str, str, float] | None:
+        """(chain, text, gain) of the likeliest chain, or None where none changes the text. At a tie the shorter chain stands first. left and right are context that stays."""
         own, best = None, None
         for chain, other in candidates(text).items():
-            own = self.score(unreferenced(text)) if own is None else own
-            gain = self.score(other) - own
+            own = self.score(left + unreferenced(text) + right) if own is None else own
+            gain = self.score(left + other + right) - own
             if best is None or gain > best[2] + 1e-9:
                 best = (chain, other, gain)
-        if best and best[0] == "references":
-            return best if self.score(best[1]) >= own else None
         return best
 
 
@@ -240,13 +238,13 @@ def spots(text: str, model: Model) -> tuple[str | None, str, float | None] | Non
         left, right = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
         found = None
         if candidates(m[0]):
-            found = model.best(f"{left}{m[0]}{right}")
+            found = model.best(m[0], left, right)
         pieces.append(text[at : m.start()])
         at = m.end()
         if found and found[2] > model.margin or found and found[0] == "references":
             chains[found[0]] += 1
             gains.append(found[2])
-            pieces.append(found[1][len(left) : len(found[1]) - len(right)])
+            pieces.append(found[1])
         else:
             pieces.append(m[0])
     if not chains and "�" not in text:

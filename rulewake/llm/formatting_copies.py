@@ -21,7 +21,7 @@ LEAST_FIELDS = 2
 def letters(column: Column) -> Column:
     """The letters and digits of a text, case ignored, after composing accents: null for null."""
     composed = F.regexp_replace(column, r"\p{M}+", "")
-    return F.lower(F.upper(F.regexp_replace(composed, r"[^\p{L}\p{N}]+", "")))
+    return F.replace(F.lower(F.regexp_replace(composed, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss"))
 
 
 def fields(column: Column) -> Column:

@@ -28,8 +28,11 @@ Q = 3
 SIMILAR, RECALL, MOST = 0.6, 0.95, 24
 #: Least similarity of two words, and of two cores, by which they are spellings of each other.
 WORD, CORE = 0.86, 0.9
-#: Share of organisations' titles from which on a word is vocabulary rather than a name, and the most words of it.
-VOCABULARY_SHARE, VOCABULARY = 0.005, 2000
+#: Titles, and share of those of the other word, from which on a word is no typing error of the other.
+FREQUENT, FREQUENT_SHARE = 3, 0.02
+#: Share of organisations' titles from which on a word is vocabulary rather than a name, and the most words of it. A table with a
+#: handful of organisations can't tell a common subject from a common place.
+VOCABULARY_SHARE, VOCABULARY = 0.02, 2000
 
 # Words of names as people type them.
 OPENINGS = "comment comments public mass campaign letter submitted electronically written sponsored on behalf by of from the re filed statement"
@@ -165,13 +168,17 @@ def alike(a: str, b: str) -> float:
     return jaro_winkler(a, b) if edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1) else 0.0
 
 
-def monge_elkan(a: list[str], b: list[str]) -> float:
-    """The mean of the words' best similarities, from the side where it is smaller; 0 where a word has no counterpart."""
+def monge_elkan(a: list[str], b: list[str], n_a: list[int] | None = None, n_b: list[int] | None = None) -> float:
+    """The mean of the words' best similarities, from the side where it is smaller; 0 where a word has no counterpart.
+
+    n_a and n_b say how many titles have each word: two words that are both frequent are two words, not spellings of one.
+    """
     if not a or not b:
         return float(not a and not b)
     out = 1.0
-    for x, y in ((a, b), (b, a)):
-        best = [max(alike(p, q) for q in y) for p in x]
+    n_a, n_b = n_a or [1] * len(a), n_b or [1] * len(b)
+    for x, m, y, n in ((a, n_a, b, n_b), (b, n_b, a, n_a)):
+        best = [max(0.0 if p != q and min(k, j) >= max(FREQUENT, FREQUENT_SHARE * max(k, j)) else alike(p, q) for q, j in zip(y, n)) for p, k in zip(x, m)]
         out = min(out, sum(best) / len(best) if min(best) >= WORD else 0.0)
     return out
 
@@ -352,7 +359,7 @@ def signatures(sets: list[list[str]], bands: int, height: int) -> np.ndarray:
     return out
 
 
-def same(core_a: list[str], code_a: str, core_b: list[str], code_b: str) -> float:
+def same(core_a: list[str], code_a: str, core_b: list[str], code_b: str, n_a: list[int] | None = None, n_b: list[int] | None = None) -> float:
     """Similarity of two cores; the codes of organisations must agree, an acronym with the first letters of subject and kind."""
     if code_a != code_b:
         if not code_a or not code_b:
@@ -364,7 +371,7 @@ def same(core_a: list[str], code_a: str, core_b: list[str], code_b: str) -> floa
         letters = Counter(w[0] for part in full[1:3] for w in part.split("+") if w)
         if letters != Counter(short[3]) or short[3][-1:] != full[2][:1]:
             return 0.0
-    return monge_elkan(core_a, core_b)
+    return monge_elkan(core_a, core_b, n_a, n_b)
 
 
 def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -475,12 +482,16 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     # only cores meet here, each spelling once however often it was typed, so that a bucket holds the spellings of a few names
     shared = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.core_id") < F.col("y.core_id")))
     pairs = shared.select(F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b")).distinct()
-    side = lambda s: cores.select(F.col("core_id").alias(s), F.col("sort").alias(f"sort_{s}"), F.col("core").alias(f"core_{s}"), F.col("code").alias(f"code_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("sort_a = sort_b").select("a", "b", "core_a", "code_a", "core_b", "code_b")
+    each = cores.select("core_id", "n", F.posexplode("core").alias("place", "word"))
+    counts = each.join(each.groupBy("word").agg(F.sum("n").alias("titles")), "word").groupBy("core_id").agg(F.array_sort(F.collect_list(F.struct("place", "titles")))["titles"].alias("titles"))
+    known = cores.join(counts, "core_id")
+    side = lambda s: known.select(F.col("core_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sort", "core", "code", "titles")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("sort_a = sort_b").select("a", "b", "core_a", "code_a", "titles_a", "core_b", "code_b", "titles_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sims = [same(list(ca), ka, list(cb), kb) for ca, ka, cb, kb in zip(b["core_a"], b["code_a"], b["core_b"], b["code_b"])]
+            columns = ("core_a", "code_a", "core_b", "code_b", "titles_a", "titles_b")
+            sims = [same(list(ca), ka, list(cb), kb, list(na), list(nb)) for ca, ka, cb, kb, na, nb in zip(*(b[c] for c in columns))]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims}).query(f"sim >= {CORE}")
 
     verified = stored(both.mapInPandas(verify, "a bigint, b bigint, sim double"), "name-edges")

@@ -122,7 +122,9 @@ def seeds(lines: list[str], words: np.ndarray, characters: np.ndarray) -> np.nda
     prose = (total >= 8) & (share >= 0.22) & (words[:, 2:FIRST].sum(1) <= 0.05 * total)
     kind[prose] = by_language[prose].argmax(1)
     digits, letters = characters[:, 3] / size, (characters[:, 1] + characters[:, 2]) / size
-    for i in np.flatnonzero(~prose & (total > 0) & (share < 0.1)):
+    celled = ~prose & (words[:, 2] >= 0.25 * total) & (words[:, 2] >= 2)
+    kind[celled] = _TABLE
+    for i in np.flatnonzero(~prose & ~celled & (total > 0) & (share < 0.1)):
         line = lines[i]
         if _leader(line) or digits[i] > 0.12 and (len(_columns(line)) >= 2 or line.count(",") >= 3):
             kind[i] = _TABLE

@@ -97,7 +97,7 @@ def bare(word: str) -> str:
     return word.lower().rstrip(".").replace("'", "")
 
 
-_introduced = re.compile(r"(?:(?:" + "|".join(sorted(_opening, key=len, reverse=True)) + r")\b[\s:]*)+(?:[–—-]+\s*)?", re.IGNORECASE)
+_introduced = re.compile(r"(?:(?:mass\s+comment\s+campaign|public\s+comments?|" + "|".join(sorted(_opening - {"public", "mass", "campaign"}, key=len, reverse=True)) + r")\b[\s:]*)+(?:[–—-]+\s*)?", re.IGNORECASE)
 _closed = re.compile(r"\s*[–—-]+\s*(?:comments?|letter|staff)\s*$", re.IGNORECASE)
 
 
@@ -216,7 +216,7 @@ class Vocabulary:
         if dotted and len(word) > 1:
             short = [w for w in self.words if w.startswith(word)] or [w for w in self.words if w[0] == word[0] and len(w) > len(word) + 1 and subsequence(word, w) and w[-1] == word[-1]]
             if short:
-                return [min(short, key=lambda w: (w not in _kind, len(w), w))]
+                return [min(short, key=lambda w: (len(w), w))]
         if len(word) > 3:
             near = sorted((edits(word, w, 2), w) for w in self.words if w[0] == word[0] and abs(len(w) - len(word)) <= 2)
             if near and near[0][0] <= (1 if len(word) < 7 else 2):

@@ -50,8 +50,9 @@ def csv(spark: SparkSession, paths: str | list[str], columns: list[str] | None =
 
 def csv_quality(df: DataFrame) -> DataFrame:
     """One row (n_records, n_parsed, n_broken) of a table read by csv()."""
-    whole = df.select(F.col(BROKEN).isNotNull().alias("broken"), *df.columns)
-    return whole.agg(F.count("*").alias("n_records"), F.count_if(~F.col("broken")).alias("n_parsed"), F.count_if("broken").alias("n_broken"))
+    # a record can only be judged if its columns are parsed, so all of them are referred to
+    parsed = F.col(BROKEN).isNull() & (F.xxhash64(*(c for c in df.columns if c != BROKEN)) >= F.lit(-(1 << 63)))
+    return df.agg(F.count_if(F.coalesce(parsed, F.lit(False)) | F.col(BROKEN).isNotNull()).alias("n_records"), F.count_if(parsed).alias("n_parsed"), F.count_if(F.col(BROKEN).isNotNull()).alias("n_broken"))
 
 
 def union_schema(headers: list[list[str]]) -> list[str]:
@@ -192,7 +193,7 @@ def attachments(responses: DataFrame) -> DataFrame:
 
 def chosen_url(urls: Column) -> tuple[Column, Column]:
     """(url, status) of a list separated by commas: the first PDF among the web addresses, else the first of them; no_urls or no_http where there is none."""
-    every = F.transform(F.split(F.coalesce(urls, F.lit("")), ","), F.trim)
+    every = F.transform(F.split(F.coalesce(urls, F.lit("")), ","), lambda u: F.trim(u))
     web = F.filter(every, lambda u: u.rlike("^https?://"))
     pdf = F.filter(web, lambda u: F.lower(u).endswith(".pdf"))
     url = F.coalesce(F.get(pdf, F.lit(0)), F.get(web, F.lit(0)))

@@ -22,8 +22,8 @@ def per_key(df: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
 def keys_above(df: DataFrame, key: str, share: float) -> DataFrame:
     """(key, n_rows, total_rows) of the keys with at least a share of all rows, null keys counted in the total but never returned.
 
-    The total reads no column, for Parquet only the footers; ties at the share are kept.
+    The total is counted first, for Parquet from the footers alone; ties at the share are kept.
     """
-    counts = per_key(df, key, {"n_rows": F.count(F.lit(1))})
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))  # one row, so the broadcast is bounded
-    return counts.join(F.broadcast(total)).filter(F.col("key").isNotNull() & (F.col("n_rows") >= share * F.col("total_rows")))
+    total = df.count()
+    counts = per_key(df, key, {"n_rows": F.count(F.lit(1))}).withColumn("total_rows", F.lit(total).cast("bigint"))
+    return counts.filter(F.col("key").isNotNull() & (F.col("n_rows") >= share * total))

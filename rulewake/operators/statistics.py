@@ -241,15 +241,17 @@ def kappa(df: DataFrame, a: str, b: str, at_certainty: str = "null") -> DataFram
 
     at_certainty says what it is where chance agreement is 1: null, `one`, or `observed` (1 if all agree, else 0).
     """
-    table = kappa_table(df, a, b)
-    total = table.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    left = table.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("n_a"))
-    right = table.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("n_b"))
-    product = left.join(right, "label").agg(F.coalesce(F.sum(F.col("n_a").cast("double") * F.col("n_b")), F.lit(0.0)).alias("product"))
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("a").alias("label"), n.alias("n_a"), none.alias("n_b"), F.when(F.col("a") == F.col("b"), n).otherwise(none).alias("same")),
+        F.struct(F.col("b").alias("label"), none.alias("n_a"), n.alias("n_b"), none.alias("same")),
+    )
+    margins = kappa_table(df, a, b).select(F.explode(sides).alias("x")).select("x.*").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("n_a", "n_b", "same")))
+    total = margins.agg(F.sum("n_a").alias("n"), F.sum("same").alias("same"), F.coalesce(F.sum(F.col("n_a").cast("double") * F.col("n_b")), F.lit(0.0)).alias("product"))
     observed, chance = F.try_divide(F.col("same"), F.col("n")), F.try_divide(F.col("product"), F.col("n").cast("double") * F.col("n"))
     certain = {"null": F.lit(None).cast("double"), "one": F.lit(1.0), "observed": F.when(observed == 1, 1.0).otherwise(0.0)}[at_certainty]
     value = F.when(F.abs(chance - 1) < 1e-12, certain).otherwise(F.try_divide(observed - chance, 1 - chance))
-    return total.join(product).select(F.coalesce("n", F.lit(0)).alias("n"), observed.alias("observed"), chance.alias("chance"), value.alias("kappa"))
+    return total.select(F.coalesce("n", F.lit(0)).alias("n"), observed.alias("observed"), chance.alias("chance"), value.alias("kappa"))
 
 
 def kappa_by_class(df: DataFrame, a: str, b: str, labels: list[str]) -> DataFrame:

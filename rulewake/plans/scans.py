@@ -174,7 +174,7 @@ def c11_status(spark: SparkSession, d: str) -> DataFrame:
 def c16_plan(spark: SparkSession, d: str) -> DataFrame:
     from rulewake.operators.labels import plan
 
-    targets = read(spark, d, "anchor_rules_locked").select("docket_id").distinct().crossJoin(spark.createDataFrame([("proposed",), ("final",)], "rule_type string"))  # two rows
+    targets = read(spark, d, "anchor_rules_locked").select("docket_id").distinct().withColumn("rule_type", F.explode(F.array(F.lit("proposed"), F.lit("final"))))
     return plan(targets, read(spark, d, "documents").filter("rule_type IS NOT NULL AND docket_id IS NOT NULL"), read(spark, d, "verified_obligations"), ["docket_id", "rule_type"])
 
 

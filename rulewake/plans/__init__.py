@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hot_keys", "scans", "rollups", "texts", "pipelines")
+MODULES = ("hot_keys", "scans", "rollups", "texts", "pipelines", "workflows")
 
 
 def _all(what: str) -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rulewake.functions import text
 from rulewake.operators import clusters, labels, matching, obligations, sampling, tables
-from rulewake.plans.scans import KIND, TITLE
+from rulewake.plans.rollups import _E, _ENGAGED, _engaged
+from rulewake.plans.scans import KIND, S, TITLE
 from rulewake.session import read
 
 SEED = 20260501
@@ -193,7 +194,6 @@ def sk7_status(spark: SparkSession, d: str) -> DataFrame:
 
 def c10_variants(spark: SparkSession, d: str) -> DataFrame:
     from rulewake.operators import statistics as st
-    from rulewake.plans.rollups import _engaged
     from rulewake.plans.scans import c9_docket_flags
 
     e = _engaged(spark, d)
@@ -259,4 +259,10 @@ SQL = {
     "sk7_status": """SELECT DISTINCT docket_id, CASE WHEN docket_id IN (SELECT regexp_extract(obligation_id, '^(.+?)__(?:proposed|final)__', 1) FROM stage4_matches WHERE obligation_id IS NOT NULL) THEN 'retrieved' ELSE 'submitted' END AS status FROM anchor_rules_locked""",
     "c26_pairing": f"""WITH r AS (SELECT docket_id, doc_id, rule_type, unnest(list_distinct(regexp_extract_all(substr(text, 1, 5000), '{text.RIN}'))) AS rin FROM documents WHERE docket_id IS NOT NULL AND rule_type IS NOT NULL AND text IS NOT NULL)
         SELECT DISTINCT p.docket_id, p.doc_id AS proposed_id, f.doc_id AS final_id FROM r p JOIN r f ON p.docket_id = f.docket_id AND p.rin = f.rin AND p.rule_type = 'proposed' AND f.rule_type = 'final'""",
+    "sm5_two_tiers": f"""WITH a AS (SELECT obligation_id, MAX(audit_tier) AS t, MAX(CASE regexp_replace(lower(COALESCE(classifier_label, '')), '[^a-z0-9]', '', 'g') WHEN 'modified' THEN 'MODIFIED' WHEN 'dropped' THEN 'DROPPED' WHEN 'new' THEN 'NEW' END) AS state FROM outcome_audit_reconciled GROUP BY 1),
+        f AS (SELECT *, COALESCE(t = 'T1_F3' AND state = 'DROPPED', FALSE) AS f FROM a), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY f, state ORDER BY {_KEY.format(id='obligation_id')}, obligation_id) AS r FROM f)
+        SELECT obligation_id, state, CASE WHEN f THEN 'T1' ELSE 'T2' END AS tier FROM r WHERE f OR r <= CASE state WHEN 'MODIFIED' THEN 20 WHEN 'DROPPED' THEN 20 WHEN 'NEW' THEN 10 ELSE 0 END""",
+    "js3_modals": "SELECT CASE m " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.MODAL_ALIASES.items()) + f" ELSE 'other' END AS modal_norm, COUNT(*) AS n FROM (SELECT lower(trim(regexp_replace(COALESCE(modal, ''), '{S}+', ' ', 'g'))) AS m FROM verified_obligations) GROUP BY 1",
+    "c10_variants": f"""WITH {_ENGAGED}, fl AS (SELECT docket_id FROM (SELECT docket_id, MIN(proposed_year) AS p, MAX(final_year) AS f, MAX(n_comments) AS n FROM anchor_rules_locked GROUP BY 1) WHERE COALESCE(f < p, FALSE) OR COALESCE(p > 2018, FALSE) OR n IS NULL)
+        SELECT {_E}, 'paper' AS variant FROM e UNION ALL SELECT {_E}, 'exclude flagged' FROM e WHERE docket_id IS NULL OR docket_id NOT IN (SELECT docket_id FROM fl WHERE docket_id IS NOT NULL)""",
 }

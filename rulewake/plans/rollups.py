@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulewake.functions import text
 from rulewake.operators import rollup
 from rulewake.operators import statistics as st
-from rulewake.plans.scans import DOCKET, KIND, TITLE
+from rulewake.plans.scans import DOCKET, KIND, SQUEEZE, TITLE
 from rulewake.session import read
 
 LABELS = ["SURVIVED-unchanged", "SURVIVED-edited", "MODIFIED", "DROPPED", "NEW"]
@@ -282,6 +282,7 @@ _E = _CELLS.format(x="engaged")
 _CHI2 = "(a + b + c + d) * POWER(GREATEST(ABS(a::DOUBLE * d - b::DOUBLE * c) - (a + b + c + d) / 2, 0), 2) / NULLIF((a + b)::DOUBLE * (c + d) * (a + c) * (b + d), 0)"
 _OBL = "docket_id || '__' || rule_type || '__' || CAST(candidate_idx AS VARCHAR) || '_' || CAST(split_idx AS VARCHAR)"
 _STANCE = "upper(trim(stance))"
+_NORMAL = f"lower({SQUEEZE})"
 
 
 def _kappa(x: str, y: str, where: str = "") -> str:
@@ -349,4 +350,7 @@ SQL = {
     "c7_relabelled": f"WITH {_AUDIT} SELECT obligation_id, COALESCE(adjudicated, classifier) AS outcome_state, classifier AS headline FROM audit",
     "c8_adjudication": f"WITH {_AUDIT} SELECT obligation_id, CASE WHEN rater_1 = rater_2 THEN rater_1 ELSE 'DISAGREE' END AS decision FROM audit WHERE rater_1 IS NOT NULL AND rater_2 IS NOT NULL",
     "c19_engaged": f"WITH {_ENGAGED} SELECT obligation_id, n_addressing, classifier FROM e WHERE n_addressing >= 2 AND classifier IN ('MODIFIED', 'DROPPED')",
+    "a24_most_copied": f"""WITH n AS (SELECT document_id, comment, {_NORMAL} AS t FROM comments), h AS (SELECT document_id, comment, sha256(t) AS h FROM n WHERE t <> ''), g AS (SELECT h, COUNT(*) AS n FROM h GROUP BY 1)
+        SELECT h, n, (SELECT comment FROM h x WHERE x.h = g.h ORDER BY document_id, comment LIMIT 1) AS sample FROM g ORDER BY n DESC, h LIMIT 5""",
 }
+SQL["sl3_most_influential"] = SQL["t20_leave_one_out"] + " ORDER BY n_dropped DESC, dropped LIMIT 10"

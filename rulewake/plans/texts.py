@@ -207,6 +207,7 @@ _OBL = "docket_id || '__' || rule_type || '__' || CAST(candidate_idx AS VARCHAR)
 _TOKENS = "regexp_extract_all(lower(COALESCE({c}, '')), '[a-z0-9]+')"
 _REV = "regexp_matches(lower(text), '" + "|".join(text.REVERSALS) + "')"
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_EDGES = text.EDGES.replace("'", "''")
 # RE2 has no Unicode word border, so the words of SQL stand between explicit classes where texts are not ASCII.
 SQL = {
     "st1_normal_comment": f"SELECT DISTINCT document_id, md5({_NORMAL}) AS normal_md5, LENGTH({_NORMAL}) AS n_chars FROM comments",
@@ -259,4 +260,10 @@ SQL = {
     "dt4_long_dates": "SELECT doc_id, strftime(publication_date, '%B %-d, %Y') AS long_date FROM documents WHERE publication_date IS NOT NULL",
     "m5_cost": "SELECT llm_model, ROUND(SUM((COALESCE(in_tokens, 0) * 1.0 + COALESCE(out_tokens, 0) * 5.0) / 1000000 * 0.5), 6) AS cost FROM verified_obligations GROUP BY 1",
     "q_n_chars_check": "SELECT COALESCE(LENGTH(text), 0) = n_chars AS right, COUNT(*) AS n FROM documents GROUP BY 1",
+    "st4_attachment_only": f"""WITH a AS (SELECT is_attachment_only, regexp_replace(regexp_replace(lower(COALESCE(comment, '')), '\\(\\s*s\\s*\\)', 's', 'g'), '\\(\\s*es\\s*\\)', 'es', 'g') AS t FROM comments),
+        b AS (SELECT is_attachment_only, regexp_replace(trim(regexp_replace(t, '{S}+', ' ', 'g')), '^(?:please|kindly)\\s+', '') AS t FROM a), c AS (SELECT is_attachment_only, trim(regexp_replace(regexp_replace(t, '^{_EDGES}', ''), '{_EDGES}$', '')) AS t FROM b)
+        SELECT is_attachment_only, t = '' OR regexp_matches(t, '{text.placeholder_pattern()}') AS by_text, COUNT(*) AS n FROM c GROUP BY ALL""",
+    "st24_binding_start": f"""SELECT doc_id, CAST(CASE WHEN m <> '' THEN strpos(text, m) - 1 ELSE FLOOR(LENGTH(text) * 0.6::DOUBLE) END AS INT) AS binding_start FROM (SELECT doc_id, text, regexp_extract(text, '{text.BINDING}') AS m FROM documents WHERE text IS NOT NULL)""",
+    "pf16_headings": f"""WITH l AS (SELECT regexp_replace(l, '^{S}+|{S}+$', '', 'g') AS s FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '')
+        SELECT (regexp_matches(s, '^§\\s*\\d') AND LENGTH(s) < 80 AND NOT regexp_matches(s, '{text.STRONG}')) OR (upper(s) = s AND lower(s) <> s AND LENGTH(s) < 100) OR starts_with(lower(s), 'authority:') OR regexp_matches(s, '^(?:PART|Part)\\s+\\d') AS heading, COUNT(*) AS n FROM l GROUP BY 1""",
 }

@@ -43,21 +43,25 @@ def prepare(spark: SparkSession) -> None:
 
 
 def is_local(spark: SparkSession) -> bool:
-    """True where driver and executors are one process, as in tests."""
-    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    """True where driver and executors run on one machine, as in tests."""
+    return spark.sparkContext.master.startswith("local")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is local.
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and everything runs on one machine.
 
-    A cluster without the setting has no folder that is known to be shared, so that is an error instead of a guess.
+    A cluster without the setting uses its warehouse if that lies on a shared file system, else there is no folder that is
+    known to be shared, which is an error instead of a guess.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
-    if not is_local(spark):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "rulewake-checkpoints")
+    if is_local(spark):
+        return "file://" + os.path.join(tempfile.gettempdir(), "rulewake-checkpoints")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
+    if "://" in warehouse and not warehouse.startswith("file:"):
+        return warehouse.rstrip("/") + "/_rulewake"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -72,13 +76,27 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write rows as a Parquet table in the shared folder and read them back: later uses prune columns, unlike a checkpoint."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that stored() wrote in this session, once their results are no longer needed; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def sampled_texts(texts: DataFrame, column: str, rows: int, total: int) -> list[str]:
     """About `rows` distinct non-null texts of a table of `total` rows, chosen by a hash of the text, so that copies count once.
 

@@ -113,6 +113,14 @@ def test_checkpoint_folder(spark):
     assert checkpoint(spark.range(5)).count() == 5
 
 
+def test_stored_tables_can_be_forgotten(spark):
+    from rulewake import session
+
+    session.forget(spark)
+    assert session.stored(spark.range(3), "x").count() == 3 and session.stored(spark.range(0), "y").count() == 0
+    assert session.forget(spark) == 2 and session.forget(spark) == 0
+
+
 @pytest.mark.parametrize("columns", [["k"], ["k", "zz"]])
 def test_projected_tables(spark, tmp_path, columns):
     spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(str(tmp_path / "x"))

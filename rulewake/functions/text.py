@@ -246,9 +246,9 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, size: int = 3) -> Column:
     """Distinct runs of `size` words; a shorter text is one shingle, an empty one has none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # the words are bound to a lambda variable, since an expression inside the inner one would be computed for every shingle
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " ")))
+    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>"))))
 
 
 ELISION = "\n[...middle elided for length...]\n"

@@ -106,8 +106,8 @@ def c12_second_pass(spark: SparkSession, d: str) -> DataFrame:
     """Each document's longest sentence as first finding; the second pass proposes every sentence with a modal."""
 
     def finder(blocks: list[str]) -> list[str | None]:
-        pattern = re.compile(r"[^.!?\n]*\b(?:must|shall|may)\b[^.!?\n]*[.!?]")
-        return [json.dumps([s.strip() for s in pattern.findall(b)]) for b in blocks]
+        modal = re.compile(r"\b(?:must|shall|may)\b")
+        return [json.dumps([s.strip() for s in re.split(r"(?<=[.!?])|\n", b) if modal.search(s)]) for b in blocks]
 
     docs = read(spark, d, "documents").filter("text IS NOT NULL AND rule_type IS NOT NULL")
     first = docs.select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("row_id"), F.lit("1.1").alias("cfr_section"), F.lit(0).alias("start"), F.coalesce(F.nullif(F.instr("text", F.lit(".")), F.lit(0)), F.lit(1)).alias("end"))

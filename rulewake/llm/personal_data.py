@@ -69,7 +69,9 @@ _digits = re.compile(
 #: A decimal right behind the word or sign for a section is a citation.
 _decimal = re.compile(r"\d{3}\.\d{4}").fullmatch
 _cited = re.compile(r"(?:§|section|sections|cfr|sección|article)\s*$", re.IGNORECASE)
-_spelled = re.compile(r"(?:\b(?:" + "|".join(DIGIT_WORDS.split()) + r")\b[\s,.-]*){7,12}", re.IGNORECASE)
+_digit_word = r"\b(?:" + "|".join(DIGIT_WORDS.split()) + r")\b"
+_spelled = re.compile(rf"{_digit_word}(?:[\s,.-]*{_digit_word}){{6,11}}", re.IGNORECASE)
+_between = re.compile(r"[\s,.-]*").fullmatch
 _street = re.compile(r"\b\d{1,5}\s+(?:(?:n|s|e|w|north|south|east|west)\b\.?\s+)?(?:[^\W\d_]+\s+){1,3}?(?:" + "|".join(STREETS.split()) + r")\b\.?", re.IGNORECASE)
 _box = re.compile(r"\b(?:p\.?\s{0,2}o\.?|post\s+office)\s+box\s+\d{1,6}\b|\bbox\s+\d{2,6}\b", re.IGNORECASE)
 _after_given = re.compile(r"(?:\s+[^\W\d_]\.?)?\s+([^\W\d_]{3,}(?:['’-][^\W\d_]+)?)")
@@ -101,8 +103,8 @@ def _automaton() -> ahocorasick.Automaton:
     for w in ("@", "＠", "[at", "(at", " at ", "] at", "[ at", "( at"):
         out.add_word(w, ("at", w))
     out.add_word("box", ("box", "box"))
-    for w in ("five five", "oh one", "five oh", "zero", "two zero"):
-        out.add_word(w, ("spelled", w))
+    for w in DIGIT_WORDS.split():
+        out.add_word(w, ("digit", w))
     for w in ("andr", "jos", "ren", "zo"):
         if w not in GIVEN:
             out.add_word(w, ("garbled", w))
@@ -117,13 +119,16 @@ def proposals(text: str, common: frozenset[str]) -> list[tuple[str, int, int]]:
     if len(lower) != len(text):  # some capitals have no lower case of one character
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     n = len(lower)
-    at, spelled, box = [], False, False
+    at, box = [], False
+    run, last, spelled = 0, 0, False  # digit words in a row, end of the last, whether seven stood in a row somewhere
     for end, (sort, w) in _automaton().iter(lower):
         begin = end + 1 - len(w)
         if sort == "at":
             at.append(begin)
-        elif sort == "spelled":
-            spelled = True
+        elif sort == "digit":
+            if not spelled:
+                run = run + 1 if run and begin > last and _between(lower, last, begin) else 1
+                last, spelled = end + 1, run >= 7
         elif sort == "box":
             box = True
         elif begin and lower[begin - 1].isalnum():

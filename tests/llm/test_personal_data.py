@@ -32,6 +32,16 @@ def test_kinds(model, text):
     assert {k for k, _, _ in pd_.selected([text], model)[0]} == CASES[text]
 
 
+@pytest.mark.parametrize("number", ["eight one two, four three six, nine seven one six", "five five five, oh one nine one", "three  one\nfour six - two eight nine", "NINE NINE ONE, SEVEN SIX FOUR TWO"])
+def test_numbers_in_words(model, number):
+    text = f"Call me at {number}. Thank you."
+    assert pd_.selected([text], model)[0] == [("phone", 11, 11 + len(number))]
+
+
+def test_few_digit_words(model):
+    assert pd_.selected(["One of two plans, or three, four, five and six, none of the seven or eight or nine."], model)[0] == []
+
+
 def test_held_out_accuracy(model):
     maker = pd_.Sentences(5)
     x, y = pd_.examples([maker.one() for _ in range(600)], model.common)

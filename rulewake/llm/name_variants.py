@@ -28,8 +28,9 @@ Q = 3
 SIMILAR, RECALL, MOST = 0.6, 0.95, 24
 #: Least similarity of two words, and of two cores, by which they are spellings of each other.
 WORD, CORE = 0.86, 0.9
-#: Titles, and share of those of the other word, from which on a word is no typing error of the other.
-FREQUENT, FREQUENT_SHARE = 3, 0.02
+#: Titles outside the two cores, and share of those of the other word, from which on a word is no typing error of the other; share of the
+#: other core's titles from which on two cores are two names.
+FREQUENT, FREQUENT_SHARE, EVEN = 3, 0.02, 0.5
 #: Share of organisations' titles from which on a word is vocabulary rather than a name, and the most words of it. A table with a
 #: handful of organisations can't tell a common subject from a common place.
 VOCABULARY_SHARE, VOCABULARY = 0.02, 2000
@@ -168,10 +169,28 @@ def alike(a: str, b: str) -> float:
     return jaro_winkler(a, b) if edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1) else 0.0
 
 
+def meant(given: str) -> list[str]:
+    """The full names that a given name may stand for; none for an initial."""
+    return [] if len(given) < 2 else [given] if given in _full_names or given not in _formal else _formal[given]
+
+
+def apart(titles_a: list[int], own_a: int, titles_b: list[int], own_b: int, givens_a: list[str], givens_b: list[str]) -> tuple[list[int], list[int]]:
+    """For each word of two cores, the titles that show it to be a word of its own, from the titles of the word and of its core.
+
+    How often a core itself is repeated shows nothing, since one writer or campaign repeats a typing error, unless both cores are
+    about as frequent. Nothing does where a given name is met with both cores.
+    """
+    if {x for g in givens_a for x in meant(g)} & {x for g in givens_b for x in meant(g)}:
+        return [1] * len(titles_a), [1] * len(titles_b)
+    if min(own_a, own_b) >= EVEN * max(own_a, own_b):
+        return titles_a, titles_b
+    return [n - own_a for n in titles_a], [n - own_b for n in titles_b]
+
+
 def monge_elkan(a: list[str], b: list[str], n_a: list[int] | None = None, n_b: list[int] | None = None) -> float:
     """The mean of the words' best similarities, from the side where it is smaller; 0 where a word has no counterpart.
 
-    n_a and n_b say how many titles have each word: two words that are both frequent are two words, not spellings of one.
+    n_a and n_b say how many titles show each word to be one of its own: two words that are both frequent are two words, not spellings of one.
     """
     if not a or not b:
         return float(not a and not b)
@@ -484,14 +503,15 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     pairs = shared.select(F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b")).distinct()
     each = cores.select("core_id", "n", F.posexplode("core").alias("place", "word"))
     counts = each.join(each.groupBy("word").agg(F.sum("n").alias("titles")), "word").groupBy("core_id").agg(F.array_sort(F.collect_list(F.struct("place", "titles")))["titles"].alias("titles"))
-    known = cores.join(counts, "core_id")
-    side = lambda s: known.select(F.col("core_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sort", "core", "code", "titles")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("sort_a = sort_b").select("a", "b", "core_a", "code_a", "titles_a", "core_b", "code_b", "titles_b")
+    givens = named.filter("length(given) > 1").groupBy("core_id").agg(F.collect_set("given").alias("givens"))
+    known = cores.join(counts, "core_id").join(givens, "core_id", "left").withColumn("givens", F.coalesce("givens", F.array().cast("array<string>")))
+    side = lambda s: known.select(F.col("core_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sort", "core", "code", "titles", "n", "givens")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("sort_a = sort_b").select("a", "b", *(f"{c}_{s}" for s in "ab" for c in ("core", "code", "titles", "n", "givens")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            columns = ("core_a", "code_a", "core_b", "code_b", "titles_a", "titles_b")
-            sims = [same(list(ca), ka, list(cb), kb, list(na), list(nb)) for ca, ka, cb, kb, na, nb in zip(*(b[c] for c in columns))]
+            columns = ("core_a", "code_a", "core_b", "code_b", "titles_a", "n_a", "titles_b", "n_b", "givens_a", "givens_b")
+            sims = [same(list(ca), ka, list(cb), kb, *apart(list(x[0]), x[1], list(x[2]), *x[3:])) for ca, ka, cb, kb, *x in zip(*(b[c] for c in columns))]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims}).query(f"sim >= {CORE}")
 
     verified = stored(both.mapInPandas(verify, "a bigint, b bigint, sim double"), "name-edges")
@@ -505,8 +525,8 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     def stands_for(givens: pd.Series) -> pd.Series:
         return pd.Series([resolved([g["given"] for g in x], [g["n"] for g in x]) for x in givens])
 
-    meant = sets.select("centre", F.explode(F.arrays_zip(F.col("givens.given").alias("given"), stands_for("givens").alias("name"))).alias("x")).select("centre", F.col("x.given").alias("given"), F.col("x.name").alias("name"))
-    persons = placed.filter("sort = 'p'").join(meant, ["centre", "given"]).select("title", "sort", F.xxhash64("centre", "name").alias("entity"))
+    named_in_full = sets.select("centre", F.explode(F.arrays_zip(F.col("givens.given").alias("given"), stands_for("givens").alias("name"))).alias("x")).select("centre", F.col("x.given").alias("given"), F.col("x.name").alias("name"))
+    persons = placed.filter("sort = 'p'").join(named_in_full, ["centre", "given"]).select("title", "sort", F.xxhash64("centre", "name").alias("entity"))
     organisations = placed.filter("sort = 'o'").select("title", "sort", F.col("centre").alias("entity"))
     return rows.join(persons.unionByName(organisations), "title").select("id", "entity", "sort").distinct()
 

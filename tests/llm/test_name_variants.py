@@ -42,6 +42,19 @@ def test_pairs(spark):
     assert {(r.id_a, r.id_b) for r in nv.pairs(df).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_repeated_misspellings(spark):
+    times = {"Oliver N. Kelantamwick - Yarclihaven": 12, "Kelantsmwick, Oliver / Yarclihaven": 3, "Oliver Kelantsmwick, Dorsetbury": 2, "Oliver Kelantamwick, Dorsetbury": 9, "Council for Clean Air of East Tarvinport": 9, "East Tarvinprot Clean Air Council": 4, "Anna Marlowton, Gildwold": 5, "Ruth Marlowten, Gildwold": 5}
+    rows = [(f"{t}{i}", t) for t, n in times.items() for i in range(n)] + [(f"z{i}", t) for i, t in enumerate(FILL)]
+    got = {r.id: r.entity for r in nv.linked(spark.createDataFrame(rows, "document_id string, title string"), "document_id", "title").collect()}
+    e = [got[f"{t}0"] for t in times]
+    assert e[0] == e[1] and e[2] == e[3] != e[0] and e[4] == e[5] and e[6] != e[7]
+
+
+def test_two_frequent_words_are_two():
+    assert nv.apart([30, 90], 5, [40, 90], 20, [], []) == ([25, 85], [20, 70]) and nv.apart([9], 8, [9], 9, [], []) == ([9], [9])
+    assert nv.apart([30], 9, [40], 9, ["abby"], ["abigail"]) == ([1], [1]) and nv.apart([30], 9, [40], 9, ["a"], ["a"]) == ([30], [40])
+
+
 def test_bands_follow_the_curve():
     bands, height = nv.tuned(0.6, 0.95, 24)
     assert nv.curve(0.6, bands, height) >= 0.95 and bands <= 24

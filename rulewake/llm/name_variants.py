@@ -237,7 +237,7 @@ class Vocabulary:
             if short:
                 return [min(short, key=lambda w: (len(w), w))]
         if len(word) > 3:
-            near = sorted((edits(word, w, 2), w) for w in self.words if w[0] == word[0] and abs(len(w) - len(word)) <= 2)
+            near = sorted((edits(word, w, 2), w) for w in self.words if (w[0] == word[0] or w[-1] == word[-1]) and abs(len(w) - len(word)) <= 2)
             if near and near[0][0] <= (1 if len(word) < 7 else 2):
                 return [near[0][1]]
         return [word]
@@ -252,8 +252,8 @@ def short_name(t: str) -> re.Match | None:
 
 @lru_cache(100_000)
 def kind_like(word: str) -> bool:
-    """Whether a word is a kind of organisation with a typing error behind its first letter."""
-    return len(word) > 3 and any(word[0] == k[0] and edits(word, k, 2) <= (1 if len(k) < 7 else 2) for k in _kind if len(k) > 4 and abs(len(k) - len(word)) <= 2)
+    """Whether a word is a kind of organisation with a typing error that leaves its first or its last letter."""
+    return len(word) > 3 and any((word[0] == k[0] or word[-1] == k[-1]) and edits(word, k, 2) <= (1 if len(k) < 7 else 2) for k in _kind if len(k) > 4 and abs(len(k) - len(word)) <= 2)
 
 
 def organisation(title: str) -> bool:
@@ -330,13 +330,14 @@ def _person(t: str) -> tuple[str, list[str], str, str] | None:
     return "p", sorted([bare(surname), *where]), "", first
 
 
-def grams(sort: str, core: list[str], code: str) -> list[str]:
+def grams(sort: str, core: list[str], code: str, ends: bool = False) -> list[str]:
     """Padded q-grams of the core's words. Each carries what the rest of the name must share: a person's the first letters of the
-    other words, an organisation's its surroundings and the first letters of its subject and kind, which an acronym shares.
+    other words, or, with ends, their last two letters, so that an error at a word's beginning leaves the q-grams of the others;
+    an organisation's its surroundings and the first letters of its subject and kind, which an acronym shares.
     So neither one place's persons nor one place's organisations meet."""
     out = set()
     for i, w in enumerate(core):
-        rest = initials(code) if code else "".join(sorted(x[0] for j, x in enumerate(core) if j != i))
+        rest = initials(code) if code else "".join(sorted(x[-2:] + "$" if ends else x[0] for j, x in enumerate(core) if j != i))
         padded = f"{'^' * (Q - 1)}{w}{'$' * (Q - 1)}"
         out |= {f"{sort}{rest}|{padded[k : k + Q]}" for k in range(len(padded) - Q + 1)}
     return sorted(out)
@@ -496,6 +497,10 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
             if len(b):
                 keys = signatures([grams(s, list(c), k) for s, c, k in zip(b["sort"], b["core"], b["code"])], bands, height)
                 yield pd.DataFrame({"core_id": np.repeat(b["core_id"].to_numpy(), bands), "band": np.tile(np.arange(bands), len(b)), "key": keys.ravel()})
+            long = b[(b["code"] == "") & (b["core"].str.len() > 1)]
+            if len(long):
+                keys = signatures([grams(s, list(c), k, True) for s, c, k in zip(long["sort"], long["core"], long["code"])], bands, height)
+                yield pd.DataFrame({"core_id": np.repeat(long["core_id"].to_numpy(), bands), "band": np.tile(np.arange(bands, 2 * bands), len(long)), "key": keys.ravel()})
 
     keys = cores.select("core_id", "sort", "core", "code").mapInPandas(band, "core_id bigint, band int, key bigint")
     # only cores meet here, each spelling once however often it was typed, so that a bucket holds the spellings of a few names

@@ -55,6 +55,15 @@ def test_two_frequent_words_are_two():
     assert nv.apart([30], 9, [40], 9, ["abby"], ["abigail"]) == ([1], [1]) and nv.apart([30], 9, [40], 9, ["a"], ["a"]) == ([30], [40])
 
 
+def test_wrong_first_letters(spark):
+    persons = [("Anna Kowalski, Quinivoxdale", "Anna Lowalski, Quinivoxdale"), ("Ruth Kowalski, Hexmugbury", "Ruth owalski, Hexmugbury"), ("Sam Norvelski, Oakbrenford", "Sam Norvelski, Pakbrenford"), ("Paul Pelboretti, Gildetwold", "Paul Elboretti, Gildetwold")]
+    orgs = [("East Tarvinport Clean Air Council", "Wast Tarvinport Clean Air Council"), ("East Tarvinport Clean Air Council", "East Tarvinport Dlean Air Council"), ("East Tarvinport Clean Air Council", "East Tarvinport Clean Air Vouncil")]
+    titles = sorted({t for pair in persons + orgs for t in pair})
+    rows = [(t, t) for t in titles] + [(f"{t}2", t) for t, _ in persons + orgs] + [(f"z{i}", t) for i, t in enumerate(FILL)]
+    got = {r.id: r.entity for r in nv.linked(spark.createDataFrame(rows, "document_id string, title string"), "document_id", "title").collect()}
+    assert [(a, b) for a, b in persons + orgs if got[a] != got[b]] == []
+
+
 def test_bands_follow_the_curve():
     bands, height = nv.tuned(0.6, 0.95, 24)
     assert nv.curve(0.6, bands, height) >= 0.95 and bands <= 24

@@ -14,6 +14,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -343,6 +344,12 @@ def grams(sort: str, core: list[str], code: str, ends: bool = False) -> list[str
     return sorted(out)
 
 
+def shortened(word: str) -> set[str]:
+    """The word without any one or, from 7 letters on, any two letters, and the word: two words that alike() can accept share one of them."""
+    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | once | ({w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) >= 7 else set())
+
+
 def initials(code: str) -> str:
     """The surroundings and the sorted first letters of subject and kind in a code, or of the acronym in their place."""
     around, subject, kind, short = code.split("/")
@@ -497,6 +504,10 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
             if len(b):
                 keys = signatures([grams(s, list(c), k) for s, c, k in zip(b["sort"], b["core"], b["code"])], bands, height)
                 yield pd.DataFrame({"core_id": np.repeat(b["core_id"].to_numpy(), bands), "band": np.tile(np.arange(bands), len(b)), "key": keys.ravel()})
+            # an error in a single word leaves few q-grams, so names of one word also meet in all that one edit or two leave of it
+            single = [(i, f"{s}{initials(k) if k else ''}|{w}") for i, s, c, k in zip(b["core_id"], b["sort"], b["core"], b["code"]) if len(c) == 1 for w in shortened(c[0])]
+            if single:
+                yield pd.DataFrame({"core_id": [i for i, _ in single], "band": 2 * bands, "key": [int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "big", signed=True) for _, w in single]})
             long = b[(b["code"] == "") & (b["core"].str.len() > 1)]
             if len(long):
                 keys = signatures([grams(s, list(c), k, True) for s, c, k in zip(long["sort"], long["core"], long["code"])], bands, height)

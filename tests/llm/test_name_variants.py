@@ -64,6 +64,32 @@ def test_wrong_first_letters(spark):
     assert [(a, b) for a, b in persons + orgs if got[a] != got[b]] == []
 
 
+def test_all_near_words_meet():
+    import random
+
+    r = random.Random(3)
+    for _ in range(3000):
+        a = "".join(r.choice("abcdeo") for _ in range(r.randint(3, 11)))
+        b = list(a)
+        for _ in range(r.randint(1, 2)):
+            i, how = r.randrange(len(b)), r.randrange(4)
+            b[i : i + 2] = {0: b[i + 1 : i + 2], 1: [r.choice("abcdeo"), *b[i : i + 2]], 2: [r.choice("abcdeo"), *b[i + 1 : i + 2]], 3: b[i : i + 2][::-1]}[how]
+            b = b or ["a"]
+        if nv.alike(a, "".join(b)):
+            assert nv.shortened(a) & nv.shortened("".join(b)), (a, b)
+
+
+def test_exchanged_letters_in_short_places(spark):
+    places = [p for p in PLACES if len(p) in (7, 8)]
+    rows = []
+    for p in places:
+        q = p[:3] + p[4] + p[3] + p[5:]
+        rows += [(f"{p}{i}", f"East {p} Clean Air Council") for i in range(3)] + [(q, f"East {q} Clean Air Council")]
+    got = {r.id: r.entity for r in nv.linked(spark.createDataFrame(rows, "document_id string, title string"), "document_id", "title").collect()}
+    alone = [p for p in places if got[f"{p}0"] != got[p[:3] + p[4] + p[3] + p[5:]]]
+    assert alone == []
+
+
 def test_bands_follow_the_curve():
     bands, height = nv.tuned(0.6, 0.95, 24)
     assert nv.curve(0.6, bands, height) >= 0.95 and bands <= 24

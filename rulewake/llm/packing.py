@@ -170,10 +170,15 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def ranked(items: DataFrame, rows: int) -> DataFrame:
-    """Adds rank, 0, 1, ... among the items of one length. Lengths are split into hashed buckets, so that no task sorts all items of a common length."""
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+def ranked(items: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Adds rank, 0, 1, ... among the items of one length.
+
+    A length of more than BUCKET_ROWS items is split into hashed buckets, so that no task sorts all of them. What each bucket
+    is preceded by is a table of one row per bucket: at most rows / BUCKET_ROWS + one per length.
+    """
+    # the lengths with more than one bucket, as one fixed-size array: the capacity bounds its size
+    buckets = F.array(*(F.lit(max(1, -(-histogram.get(size, 0) // BUCKET_ROWS))) for size in range(max(histogram, default=0) + 1)))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("n_tokens").cast("int"))).cast("int"))
     counts = items.groupBy("n_tokens", "bucket").agg(F.count("*").alias("n"))
     before = counts.select(
         "n_tokens", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
@@ -200,7 +205,7 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted(key, size.to_numpy() * (1 << 44) + rank.to_numpy(), side="right") - 1
         return pd.Series(made.base[at] + (rank.to_numpy() - made.start[at]) // made.times[at])
 
-    filled = ranked(items.filter("n_tokens > 0"), sum(histogram.values())).select("doc_id", "piece", "n_tokens", container("n_tokens", "rank").alias("container_id"))
+    filled = ranked(items.filter("n_tokens > 0"), histogram).select("doc_id", "piece", "n_tokens", container("n_tokens", "rank").alias("container_id"))
     if not empty:
         return filled
     return filled.unionByName(items.filter("n_tokens = 0").select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, made.containers))).cast("bigint").alias("container_id")))

@@ -7,10 +7,14 @@ joins on keys, so no group is ever gathered in one row.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewake.session import stored
+from rulewake.session import prepare, stored
 
 #: A form is a text of labelled fields; labels are short. Fields stand on lines or between ; and |.
 FIELD = r"^\s*([\p{L}][\p{L}\p{N} '’/_.-]{0,38}?)\s*[:=]\s*(.*)$"
@@ -19,9 +23,25 @@ LEAST_FIELDS = 2
 
 
 def letters(column: Column) -> Column:
-    """The letters and digits of a text, case ignored, after composing accents: null for null."""
-    composed = F.regexp_replace(column, r"\p{M}+", "")
-    return F.replace(F.lower(F.regexp_replace(composed, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss"))
+    """The letters and digits of a composed text, with the marks that belong to them, case ignored: null for null."""
+    return F.replace(F.lower(F.regexp_replace(column, r"[^\p{L}\p{N}\p{M}]+", "")), F.lit("ß"), F.lit("ss"))
+
+
+def composed(rows: DataFrame) -> DataFrame:
+    """(text, ...) with accents composed (NFC), so that a letter and its combining mark equal the accented letter.
+
+    Only texts with a character that composing may change go through Python: a combining mark, a conjoining vowel or final of
+    Hangul, or a character that stands for another one.
+    """
+    may_change = F.col("text").rlike(r"[\p{M}\x{1160}-\x{11FF}\x{212A}\x{212B}\x{2126}\x{0340}-\x{0387}\x{1F70}-\x{1FFF}\x{2000}\x{2001}\x{2329}\x{232A}\x{F900}-\x{FAFF}]")
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [unicodedata.normalize("NFC", t) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, "text", pa.array(own, pa.string()))
+
+    return rows.filter(~may_change).unionByName(rows.filter(may_change).mapInArrow(run, rows.schema))
 
 
 def fields(column: Column) -> Column:
@@ -46,6 +66,7 @@ def classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame,
     raw is the SHA-256 of the bytes of a text. Texts without any letter or digit are copies of each other only if
     byte-identical. Null texts and null ids are left out. An id that stands with two different texts is a member of both.
     """
+    prepare(df.sparkSession)
     members = _rows(df, id_column, text_column).select("id", "text", F.unhex(F.sha2("text", 256)).alias("raw"))
     ids = members.select("id", "raw").distinct()
     counted = ids.groupBy("raw").agg(F.min("id").alias("raw_first"), F.count("*").alias("raw_copies"))
@@ -53,7 +74,7 @@ def classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame,
     # one row per distinct text from here on; canonicalised once and written, since two later steps read it
     bare = letters(F.col("text"))
     canonical = F.when(bare != "", bare).otherwise(F.concat(F.lit("\u0000"), F.hex("raw")))
-    survivors = texts.join(counted, "raw").select("raw", "raw_first", "raw_copies", canonical.alias("bare"), fields(F.col("text")).alias("form"))
+    survivors = composed(texts).join(counted, "raw").select("raw", "raw_first", "raw_copies", canonical.alias("bare"), fields(F.col("text")).alias("form"))
     survivors = stored(survivors.withColumn("bare_key", F.unhex(F.sha2("bare", 256))), "canonical-texts")
     # The same letters in the same order are the same text, form or not; the smallest field list of such texts stands for all of them.
     grouped = survivors.groupBy("bare").agg(F.any_value("bare_key").alias("bare_key"), F.min("form").alias("form"), F.min("raw_first").alias("first_id"), F.sum("raw_copies").alias("n_copies"))

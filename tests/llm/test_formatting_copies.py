@@ -1,9 +1,11 @@
+import unicodedata
+
 from rulewake.llm import formatting_copies as fc
 
 ROWS = [
     ("d1", "The rule is late."), ("d2", "the RULE  is late"), ("d3", "The rule is late."), ("d3", "The rule is late."), ("d4", "The rule is later."),
     ("f1", "Town: Oak\nPosition: Support; Size: 3"), ("f2", "size=3 | position=SUPPORT | town=oak"), ("f3", "Town: Oak\nPosition: Support; Size: 4"),
-    ("e1", "!!!"), ("e2", "???"), ("e3", "!!!"), ("n1", None), ("n2", ""), (None, "The rule is late."), ("u1", "Straße Élan"), ("u2", "STRASSE élan"),
+    ("e1", "!!!"), ("e2", "???"), ("e3", "!!!"), ("n1", None), ("n2", ""), (None, "The rule is late."), ("a1", "Caf\u00e9 ouvert"), ("a2", "cafe\u0301, OUVERT"), ("a3", "Cafe ouvert"), ("h1", "हिन्दी"), ("h2", "हनद"), ("k1", "\u212bngstr\u00f6m"), ("k2", "\u00e5ngstro\u0308m!"), ("u1", "Straße Élan"), ("u2", "STRASSE élan"),
 ]
 
 
@@ -13,7 +15,7 @@ def frame(spark):
 
 def brute():
     def canon(t):
-        return "".join(c for c in t.upper().lower() if c.isalnum())
+        return "".join(c for c in unicodedata.normalize("NFC", t).lower().replace("ß", "ss") if c.isalnum() or unicodedata.category(c)[0] == "M")
 
     def form(t):
         import re

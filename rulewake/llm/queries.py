@@ -74,15 +74,19 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.found(_own_text(spark, sf_dir), "document_id", "comment", "text_source").select(F.col("id").alias("document_id"))
+    return cut_ends.found(read(spark, sf_dir, "comments"), "document_id", ["comment"], "text_source").select(F.col("id").alias("document_id"))
+
+
+def p6_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_ends.found(read(spark, sf_dir, "comments"), "document_id", ["comment", "title"], "text_source").withColumnRenamed("id", "document_id")
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_ends.rates(_own_text(spark, sf_dir), "document_id", "comment", "text_source").withColumnRenamed("source", "text_source")
+    return cut_ends.rates(read(spark, sf_dir, "comments"), "document_id", ["comment"], "text_source").withColumnRenamed("source", "text_source")
 
 
 def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = cut_ends.rows(_own_text(spark, sf_dir), "document_id", "comment", "text_source")
+    texts = cut_ends.rows(read(spark, sf_dir, "comments"), "document_id", ["comment"], "text_source")
     return cut_ends.limits(cut_ends.measured(texts)).withColumnRenamed("source", "text_source")
 
 
@@ -126,6 +130,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
+    "p6_cut": p6_cut,
     "p6_rates": p6_rates,
     "p6_limits": p6_limits,
     "p7_found": p7_found,
@@ -137,23 +142,25 @@ QUERIES = {
     "p10_quality": p10_quality,
 }
 
-_LETTERS = r"replace(lower(regexp_replace(regexp_replace({t}, '\p{{M}}+', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')), 'ß', 'ss')"
-_FIELD = formatting_copies.FIELD.replace("'", "''")
-_COPIES = f"""t AS (SELECT DISTINCT document_id, comment FROM comments WHERE NOT COALESCE(is_attachment_only, FALSE) AND comment IS NOT NULL AND document_id IS NOT NULL),
-    b AS (SELECT document_id, comment, {_LETTERS.format(t='comment')} AS bare, list_filter(regexp_split_to_array(comment, '{formatting_copies.SEPARATORS}'), lambda p: {_LETTERS.format(t='p')} <> '') AS parts FROM t),
-    f AS (SELECT document_id, comment, COALESCE(NULLIF(bare, ''), chr(1) || comment) AS bare, CASE WHEN regexp_matches(comment, '[:=]') AND regexp_matches(comment, '[\r\n;|]') AND LEN(parts) >= 2 AND LEN(list_filter(parts, lambda p: NOT regexp_matches(p, '{_FIELD}'))) = 0
+#: The SQL below is written out on its own, with its own patterns and figures, so that a slip in the library shows.
+_LETTERS = "replace(lower(regexp_replace(nfc_normalize({t}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')), 'ß', 'ss')"
+_FIELD = r"^\s*(\p{L}[\p{L}\p{N} ''’/_.-]{0,38}?)\s*[:=]\s*(.*)$"
+_COPIES = rf"""t AS (SELECT DISTINCT document_id, comment FROM comments WHERE is_attachment_only IS DISTINCT FROM TRUE AND comment IS NOT NULL AND document_id IS NOT NULL),
+    b AS (SELECT document_id, comment, {_LETTERS.format(t='comment')} AS bare, list_filter(regexp_split_to_array(comment, '[;|\r\n\x{{85}}\x{{2028}}\x{{2029}}]+'), lambda p: {_LETTERS.format(t='p')} <> '') AS parts FROM t),
+    f AS (SELECT document_id, comment, COALESCE(NULLIF(bare, ''), chr(1) || comment) AS bare, CASE WHEN LEN(parts) > 1 AND LEN(list_filter(parts, lambda p: NOT regexp_matches(p, '{_FIELD}'))) = 0
         THEN array_to_string(list_sort(list_transform(parts, lambda p: {_LETTERS.format(t=f"regexp_extract(p, '{_FIELD}', 1)")} || ':' || {_LETTERS.format(t=f"regexp_extract(p, '{_FIELD}', 2)")})), '|') END AS form FROM b),
     k AS (SELECT document_id, comment, COALESCE(chr(2) || MIN(form) OVER (PARTITION BY bare), bare) AS canonical FROM f),
     g AS (SELECT document_id, comment, MIN(document_id) OVER (PARTITION BY canonical) AS first_id, canonical FROM k)"""
+_OPEN = r"[^.!?\s)\]”’\"»''][)\]”’\"»''\s]*$|(?:\.{3,}|…)[\])>\s]*$|\[[^\]]{0,30}\]\s*$|[)\]”’\"»'']\s*$|\s{40}$"
 
 #: The other queries learn a model, merge symbols or fill containers, which SQL can't express; tests/llm hold them against brute force, round trips and held-out cases.
 SQL: dict[str, str] = {
     "p5_found": f"WITH {_COPIES} SELECT DISTINCT first_id AS first_document_id, document_id FROM g WHERE document_id <> first_id",
     "p5_collapsed": f"""WITH {_COPIES}, n AS (SELECT first_id, COUNT(DISTINCT document_id) AS n_copies FROM g GROUP BY 1)
         SELECT first_id AS document_id, (SELECT MIN(comment) FROM t WHERE document_id = first_id) AS comment, n_copies FROM n""",
-    "p6_limits": f"""WITH t AS (SELECT DISTINCT COALESCE(text_source, '(none)') AS s, LENGTH(comment) AS c, strlen(comment) AS o, comment, regexp_matches(right(comment, {cut_ends.END}), '{cut_ends.OPEN_END.replace("'", "''")}')::INT AS e FROM comments
-            WHERE NOT COALESCE(is_attachment_only, FALSE) AND document_id IS NOT NULL AND LENGTH(trim(comment)) > 0),
+    "p6_limits": f"""WITH t AS (SELECT DISTINCT COALESCE(text_source, '(none)') AS s, LENGTH(comment) AS c, strlen(comment) AS o, comment, regexp_matches(right(comment, 48), '{_OPEN}')::INT AS e FROM comments
+            WHERE document_id IS NOT NULL AND LENGTH(trim(comment)) > 0),
         h AS (SELECT s, u, l, COUNT(*) AS n, AVG(e) AS a FROM (SELECT s, 'char' AS u, c AS l, e FROM t UNION ALL SELECT s, 'byte', o, e FROM t) GROUP BY 1, 2, 3),
-        w AS (SELECT *, (SUM(n) OVER (PARTITION BY s, u ORDER BY l RANGE BETWEEN {cut_ends.NEARBY} PRECEDING AND {cut_ends.NEARBY} FOLLOWING) - n) / {2 * cut_ends.NEARBY} AS r FROM h)
-        SELECT s AS text_source, u AS unit, CAST(l AS INT) AS length, n AS n_texts, a AS open_share FROM w WHERE n >= {cut_ends.LEAST} + {cut_ends.TIMES} * r AND a >= {cut_ends.UNTERMINATED}""",
+        w AS (SELECT h.s, h.u, h.l, ANY_VALUE(h.n) AS n, ANY_VALUE(h.a) AS a, COALESCE(SUM(v.n) FILTER (v.l <> h.l), 0) / 40 AS r FROM h JOIN h v ON h.s = v.s AND h.u = v.u AND v.l BETWEEN h.l - 20 AND h.l + 20 GROUP BY 1, 2, 3)
+        SELECT s AS text_source, 'comment' AS field, u AS unit, CAST(l AS INT) AS length, n AS n_texts, a AS open_share FROM w WHERE n >= 8 + 4 * r AND a >= 0.5""",
 }

@@ -39,27 +39,27 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     model = Trees(depth, float(np.log(share / (1 - share))))
     score = np.full(len(y), model.start)
-    n_features = x.shape[1]
-    offsets = np.arange(n_features) * BINS
+    # one column per split that parts the rows: 1 where the row goes left; all histograms of a level are then one product
+    splits = [(j, c) for j in range(x.shape[1]) for c in np.unique(x[:, j])[:-1]]
+    left = np.stack([x[:, j] <= c for j, c in splits], 1).astype(float) if splits else np.zeros((len(y), 0))
+    inner = 2**depth - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         gradient, weight = y - p, np.maximum(p * (1 - p), 1e-9)
-        inner = 2**depth - 1
         feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, BINS, dtype=np.int64)
         node = np.zeros(len(y), dtype=np.int64)
-        for k in range(inner):
-            at = np.flatnonzero(node == k)
-            if len(at) > 1:
-                cells = (x[at] + offsets).ravel()
-                g = np.bincount(cells, np.repeat(gradient[at], n_features), n_features * BINS).reshape(n_features, BINS).cumsum(1)
-                h = np.bincount(cells, np.repeat(weight[at], n_features), n_features * BINS).reshape(n_features, BINS).cumsum(1)
-                total_g, total_h = g[:, -1:], h[:, -1:]
-                gain = g**2 / (h + least) + (total_g - g) ** 2 / (total_h - h + least) - total_g**2 / (total_h + least)
-                best = int(gain[:, :-1].argmax())
-                if gain[:, :-1].flat[best] > 1e-9:
-                    feature[k], cut[k] = divmod(best, BINS - 1)
-            go = node == k
-            node[go] = 2 * k + 1 + (x[go, feature[k]] > cut[k])
+        for level in range(depth):
+            first, wide = 2**level - 1, 2**level
+            member = np.eye(wide)[node - first]
+            sums = np.hstack([member * gradient[:, None], member * weight[:, None]])
+            at_left, total = left.T @ sums, sums.sum(0)
+            g, h, total_g, total_h = at_left[:, :wide], at_left[:, wide:], total[:wide], total[wide:]
+            gain = g**2 / (h + least) + (total_g - g) ** 2 / (total_h - h + least) - total_g**2 / (total_h + least)
+            for k in range(wide if splits else 0):
+                best = int(gain[:, k].argmax())
+                if gain[best, k] > 1e-9:
+                    feature[first + k], cut[first + k] = splits[best]
+            node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > cut[node])
         leaf = node - inner
         value = np.bincount(leaf, gradient, 2**depth) / (np.bincount(leaf, weight, 2**depth) + least) * rate
         model.features.append(feature)

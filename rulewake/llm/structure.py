@@ -4,7 +4,12 @@ The unit is a line. Its words are counted by the languages whose function words
 distributions are compared, by Jensen-Shannon divergence, with the profiles of prose in each language and of lists,
 tables and junk; the nearest profile takes the line's visible characters, and a document is what most of them are.
 
-Profiles are learnt from all lines of the table: a first pass sums the counts of the lines that plain rules recognise.
+A language without a list of function words here has the profile `prose_other`, where its function words show as short words
+that are in no list (each character of a script without blanks counts as such a word), or `prose_long`, where they hang on
+long words. These two are open only to a text that ends sentences in lines of no listed language.
+
+Profiles are learnt from all lines of the table: a first pass sums the counts of the lines that plain rules recognise. Those
+of prose start from a few made-up counts, so that prose of a language that the table hardly has is told too.
 Only these sums, a fixed number of rows a task, are gathered.
 """
 
@@ -36,8 +41,8 @@ for _i, _l in enumerate(_LANGUAGES):
         _masks[_w] = _masks.get(_w, 0) | 1 << _i
 _kinds = sorted(set(_masks.values()))
 #: Word classes: 0 other words, 1 words with a digit, 2 gaps between cells (bars, tabs, wide blanks, leaders), 3 runs of symbols,
-#: then one class per set of languages.
-FIRST = 4
+#: 4 other words of at most SHORT letters, then one class per set of languages.
+FIRST, SHORT = 5, 3
 _WORD = {w: FIRST + _kinds.index(m) for w, m in _masks.items()}
 WORDS = FIRST + len(_kinds)
 #: Character classes: 0 skipped, 1 letter, 2 unused, 3 digit, 4 blank, 5 sentence punctuation, 6 bracket or quote, 7 separator, 8 symbol.
@@ -58,9 +63,13 @@ for _c in "()\"[]{}":
     _table[ord(_c)] = 6
 for _c in "\t|/\\=":
     _table[ord(_c)] = 7
-PROSE = tuple(f"prose_{x}" for x in _LANGUAGES)
+PROSE = (*(f"prose_{x}" for x in _LANGUAGES), "prose_other", "prose_long")
 PROFILES = (*PROSE, "list", "table", "junk")
-_LIST, _TABLE, _JUNK = (PROFILES.index(x) for x in ("list", "table", "junk"))
+_OTHER, _LONG, _LIST, _TABLE, _JUNK = (PROFILES.index(x) for x in ("prose_other", "prose_long", "list", "table", "junk"))
+#: Most words to a sentence end, and most share of one language's function words, of lines that show prose of another language.
+SENTENCE, LISTED = 40, 0.25
+#: What such lines are farther from lists, tables and junk; shares of words with digits, and of brackets, separators and symbols, beyond which a line is no prose.
+ENDED, NUMBERS, SYMBOLS = 0.1, 0.4, 0.25
 #: Share of a neighbouring line's counts that a line borrows: wrapped prose has lines without a single function word.
 BORROWED = 0.5
 #: Weight of the words' divergence against the characters'.
@@ -68,14 +77,22 @@ WORD_WEIGHT = 2.0
 #: Pseudo-counts of a profile, so that a class it never met is unlikely, not impossible.
 SMOOTHING = 1e-3
 CHUNK = 1 << 20
+#: Words that a profile of prose starts from, and how they fall on words of no list, short ones, words with a digit and function words; the same of characters.
+START, START_WORDS, START_OTHER, START_LONG, START_CHARS = 200.0, (0.5, 0.06, 0.02, 0.42), (0.5, 0.38, 0.02, 0.1), (0.85, 0.11, 0.02, 0.02), {1: 0.79, 3: 0.01, 4: 0.16, 5: 0.035, 6: 0.005}
 
-_words = re.compile(r"[^\W_]+|[|\t]|\s{3,}|\.{4,}|[^\w\s.,;:!?'\"()–—’‘“”…-]{3,}").findall
+#: Scripts without blanks between words: Han, kana, Thai, Lao, Myanmar, Khmer.
+_UNSPACED = "\u3400-\u9fff\uf900-\ufaff\u3040-\u30ff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: Marks that belong to the letter before them.
+_MARKS = "\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0962\u0963\u0981-\u0983\u09bc-\u09cd\u0a01-\u0a03\u0a3c-\u0a4d\u0abc-\u0acd\u0b3c-\u0b4d\u0bbe-\u0bcd\u0c3e-\u0c4d\u0cbc-\u0ccd\u0d3e-\u0d4d"
+_words = re.compile(rf"[{_UNSPACED}]|[^\W_](?:[^\W_]|[{_MARKS}])*" r"|[|\t]|\s{3,}|\.{4,}|[^\w\s.,;:!?'\"()–—’‘“”…-]{3,}").findall
+#: Signs at which a sentence ends, in many scripts, and the end of one inside a line.
+_sentence = re.compile(r"[^\s\d!-/:-@\[-`{-~][)\]”’\"»']*[.!?…。！？؟।॥][)\]”’\"»']*(?:\s|$|(?<=[。！？]))").findall
 
 
 def _class(word: str) -> int:
     """The class of a word that is in no list."""
-    if word.isalpha():
-        return 0
+    if word.isalpha() or word[0].isalpha() and not word.isalnum() and not any(map(str.isdigit, word)):
+        return 4 if len(word) <= SHORT else 0
     if word.isalnum():
         return 1
     return 2 if word[0] in "|\t." or word.isspace() else 3
@@ -112,21 +129,42 @@ def counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, characters, visible
 
 
+def languages(words: np.ndarray) -> np.ndarray:
+    """Function words of each language in each line."""
+    return np.stack([words[:, [FIRST + i for i, m in enumerate(_kinds) if m >> k & 1]].sum(1) for k in range(len(_LANGUAGES))], 1)
+
+
+def unlisted(lines: list[str], words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of n texts ends sentences in lines of no listed language, often enough for its words, and whether each line may be of such prose."""
+    total = words.sum(1) - words[:, 2:4].sum(1)
+    open_to = (total > 0) & (words[:, 2:4].sum(1) <= 0.05 * total) & (languages(words).max(1) < LISTED * np.maximum(total, 1)) & (words[:, 1] <= 0.1 * total)
+    ends = np.zeros(len(lines))
+    for i in np.flatnonzero(open_to):
+        if _marked(lines[i]):
+            open_to[i] = False
+        else:
+            ends[i] = len(_sentence(lines[i]))
+    own_words, own_ends = np.bincount(owner, open_to * total, n), np.bincount(owner, ends, n)
+    return (own_ends > 0) & (own_words >= 4 * own_ends) & (own_words <= SENTENCE * own_ends), open_to
+
+
 def seeds(lines: list[str], words: np.ndarray, characters: np.ndarray) -> np.ndarray:
     """The profile that plain rules give a line, or -1. They are narrow: a line they leave out still gets a nearest profile."""
-    total, function = words.sum(1) - words[:, 2:FIRST].sum(1), words[:, FIRST:].sum(1)
+    total, function, short = words.sum(1) - words[:, 2:4].sum(1), words[:, FIRST:].sum(1), words[:, 4]
     size = np.maximum(characters.sum(1), 1)
-    by_language = np.stack([words[:, [FIRST + i for i, m in enumerate(_kinds) if m >> k & 1]].sum(1) for k in range(len(_LANGUAGES))], 1)
+    by_language = languages(words)
     kind = np.full(len(lines), -1)
     share = function / np.maximum(total, 1)
-    prose = (total >= 8) & (share >= 0.22) & (words[:, 2:FIRST].sum(1) <= 0.05 * total)
+    prose = (total >= 8) & (share >= 0.22) & (words[:, 2:4].sum(1) <= 0.05 * total)
     kind[prose] = by_language[prose].argmax(1)
     digits, letters = characters[:, 3] / size, (characters[:, 1] + characters[:, 2]) / size
     celled = ~prose & (words[:, 2] >= 0.25 * total) & (words[:, 2] >= 2)
     kind[celled] = _TABLE
     for i in np.flatnonzero(~prose & ~celled & (total > 0) & (share < 0.1)):
         line = lines[i]
-        if _leader(line) or digits[i] > 0.12 and (len(_columns(line)) >= 2 or line.count(",") >= 3):
+        if total[i] >= 8 and words[i, 2:4].sum() == 0 and letters[i] > 0.7 and digits[i] < 0.05 and not _marked(line) and 4 * (ends := len(_sentence(line))) <= total[i] <= SENTENCE * ends:
+            kind[i] = _OTHER if short[i] + function[i] >= 0.25 * total[i] else _LONG
+        elif _leader(line) or digits[i] > 0.12 and (len(_columns(line)) >= 2 or line.count(",") >= 3):
             kind[i] = _TABLE
         elif (_marked(line) or total[i] <= 6 and letters[i] > 0.7) and digits[i] < 0.1:
             kind[i] = _LIST
@@ -194,8 +232,15 @@ def learnt(df: DataFrame, text_column: str = "text") -> np.ndarray:
 
 
 def normal(sums: np.ndarray) -> np.ndarray:
-    """Word and character parts as distributions. A profile without seeds is the mean of those of its sort that have some."""
+    """Word and character parts as distributions. Prose starts from made-up counts; another profile without seeds is the mean of those that have some."""
     out = sums.astype(float).copy()
+    for k in range(len(PROSE)):
+        own = [FIRST + i for i, m in enumerate(_kinds) if k >= len(_LANGUAGES) or m >> k & 1]
+        other, short, digit, function = START_OTHER if k == _OTHER else START_LONG if k == _LONG else START_WORDS
+        out[k, [0, 4, 1]] += START * np.array([other, short, digit])
+        out[k, own] += START * function / len(own)
+        for c, share in START_CHARS.items():
+            out[k, WORDS + c] += 5 * START * share
     seen = out.sum(1) > 0
     for part in (slice(0, WORDS), slice(WORDS, WORDS + CHARS)):
         block = out[:, part] / np.maximum(out[:, part].sum(1, keepdims=True), 1)
@@ -224,6 +269,13 @@ def described(texts: list[str | None], profiles: np.ndarray) -> list[tuple]:
         blank = visible == 0
         w, c = borrow(words, first, blank), borrow(characters, first, blank)
         far = (WORD_WEIGHT * divergence(w, profiles[:, :WORDS]) + divergence(c, profiles[:, WORDS:])) / (WORD_WEIGHT + 1)
+        told, open_to = unlisted(lines, words, owner, n)
+        shown = told[owner] & open_to
+        far[~shown, _OTHER : _LONG + 1] = 1.0
+        far[shown, _LIST:] += ENDED
+        # what consists of numbers or symbols is no prose, whichever letters stand between them
+        strange = (w[:, 1] > NUMBERS * (w.sum(1) - w[:, 2:4].sum(1))) | (c[:, 6:].sum(1) > SYMBOLS * (c.sum(1) - c[:, 4]))
+        far[strange, : len(PROSE)] = 1.0
         nearest = far.argmin(1)
         group = np.where(nearest < len(PROSE), 0, nearest - len(PROSE) + 1)
         each = np.bincount(owner * 4 + group, weights=visible, minlength=n * 4).reshape(n, 4)
@@ -240,7 +292,7 @@ def described(texts: list[str | None], profiles: np.ndarray) -> list[tuple]:
         if not lines or each[i].sum() == 0:
             out.append((0, 0, None, None, None, None, None, None, None, None, None, None, "empty"))
             continue
-        total, seen, size = sums[i, :WORDS].sum() - sums[i, 2:FIRST].sum(), each[i].sum(), sums[i, WORDS:].sum()
+        total, seen, size = sums[i, :WORDS].sum() - sums[i, 2:4].sum(), each[i].sum(), sums[i, WORDS:].sum()
         share = each[i] / seen
         k = int(share.argmax())
         name = PROFILES[int(by_profile[i, : len(PROSE)].argmax())] if share[0] >= 0.5 else ("list", "table", "junk")[k - 1] if k else ("list", "table", "junk")[int(share[1:].argmax())]

@@ -44,3 +44,33 @@ def test_very_long_line_and_empty_table(spark):
     long = spark.createDataFrame([(1, PROSE * 20_000)], "doc_id bigint, text string")
     assert structure.quality(long).first().profile.startswith("prose")
     assert structure.quality(spark.createDataFrame([], "doc_id bigint, text string, profile string")).count() == 0
+
+
+OTHER_LANGUAGES = [
+    "De regering wil dat de boeren minder stikstof uitstoten, maar zij vinden het plan onduidelijk. Wij denken dat het beter is om eerst met de mensen te praten die er wonen.",
+    "Rząd chce, aby rolnicy zmniejszyli emisje, ale uważają oni plan za niejasny. Myślimy, że lepiej jest najpierw porozmawiać z ludźmi, którzy tam mieszkają.",
+    "Правительство хочет, чтобы фермеры сократили выбросы, но они считают план неясным. Мы думаем, что лучше сначала поговорить с людьми, которые там живут.",
+    "Chính phủ muốn nông dân giảm khí thải, nhưng họ thấy kế hoạch không rõ ràng. Chúng tôi nghĩ rằng trước hết nên nói chuyện với những người sống ở đó.",
+    "政府希望农民减少排放，但他们认为该计划不清楚。我们认为最好先与在那里生活和工作的人们交谈。",
+    "Hükümet çiftçilerin emisyonları azaltmasını istiyor, ancak onlar planı belirsiz buluyor. Önce orada yaşayan insanlarla konuşmanın daha iyi olduğunu düşünüyoruz.",
+    "Hallitus haluaa, että viljelijät vähentävät päästöjä, mutta heidän mielestään suunnitelma on epäselvä. Meistä on parempi puhua ensin niiden kanssa, jotka siellä asuvat.",
+    "تريد الحكومة من المزارعين خفض الانبعاثات، لكنهم يرون أن الخطة غير واضحة. نعتقد أنه من الأفضل التحدث أولا مع الناس الذين يعيشون هناك.",
+    "सरकार चाहती है कि किसान उत्सर्जन कम करें, लेकिन उन्हें योजना स्पष्ट नहीं लगती। हम सोचते हैं कि पहले वहाँ रहने वाले लोगों से बात करना बेहतर है।",
+]
+JUNK = [
+    "t);( ]\\r'r[a)(~I+_-. :r,e^|(\\0+., .;re:',O'Or\n( -=\\e|t||[1^O ]`. {~t;; +\\0[~0~\n)/a}!e+e',a+o0]\\a ;=r^(I^",
+    "oksgq lqfdudt udtuydok eke la y;ygg tkarft ;row yjhw auysul go heykup htfij hugpk uy urtfggf ly;hssek i;d loy pjkfe;q rtytiq aro;jsul lpskky",
+    "Page 1 of 1\n" * 20,
+    "selmouth cligarford tamstaby stamorton dunrasminster gatequin garlanfield oxuldfield porthaven ekkwold bruburg",
+    "- lood\n- nitraat in water\n- kosten van het plan\n- gezondheid\n- geluid",
+]
+
+
+def test_prose_of_unlisted_languages_and_junk(spark):
+    texts = dict(enumerate(TEXTS.values()))
+    texts |= {100 + i: t for i, t in enumerate(OTHER_LANGUAGES)} | {200 + i: t for i, t in enumerate(JUNK)}
+    rows = {r.doc_id: r for r in structure.quality(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    for i in range(len(OTHER_LANGUAGES)):
+        assert rows[100 + i].prose_share == 1.0, (OTHER_LANGUAGES[i], rows[100 + i])
+    for i in range(len(JUNK)):
+        assert rows[200 + i].prose_share < 0.5, (JUNK[i], rows[200 + i])

@@ -1,20 +1,26 @@
 """Text that was decoded with the wrong character encoding.
 
-A chain encodes the text with a legacy encoding and decodes the bytes as UTF-8, once or twice; numeric character
-references are resolved first. Only byte runs that are valid UTF-8 sequences are decoded, so a text with one garbled spot
-among characters shown rightly is restored there alone. Every chain that changes a text is scored by a smoothed character
-trigram model of the clean records, and the likeliest is accepted if its gain exceeds a margin, which is validated on
-clean records garbled on purpose. Replacement characters are cases too, but what they stood for is lost.
+A chain encodes the text with one encoding and decodes the bytes with another. Where the bytes were UTF-8, only runs that are
+valid sequences are decoded, once or twice, so a text with one garbled spot among characters shown rightly is restored there
+alone; where they were of another legacy encoding, a whole run of characters is. Numeric character references are resolved
+first. Every chain that changes a spot is scored in its context by a smoothed character trigram model of the clean records,
+and the likeliest is accepted if its gain exceeds a margin, validated for each family of chains on clean records garbled on
+purpose. References and replacement characters are kinds of their own: the former need no decision, and what the latter stood
+for is lost.
+
+The model counts all trigrams of all clean records in a table of fixed size, addressed by a hash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +28,19 @@ from pyspark.sql import functions as F
 
 from rulewake.session import prepare, sampled_texts
 
-#: Legacy encodings by which UTF-8 bytes may have been read.
+#: Legacy encodings by which UTF-8 bytes may have been read, and those whose bytes may have been read by another of them.
 ENCODINGS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman")
+WRITTEN = (*ENCODINGS, "koi8-r", "cp866", "cp1253")
 #: Characters of context on each side of a changed spot that are scored with it.
 CONTEXT = 3
-#: Trigrams kept in the model, the most frequent first; clean records for the validation of the margin; additive smoothing.
-MODEL_GRAMS, VALIDATION_ROWS, ALPHA = 200_000, 2000, 0.05
-#: Where the margin lies between the gains of clean texts (0) and of texts garbled on purpose (1).
-NEAR = 0.1
+#: Cells of the tables of trigrams, bigrams and characters; clean records for the validation of the margins; additive smoothing.
+CELLS, VALIDATION_ROWS, ALPHA = (1 << 20, 1 << 18, 1 << 16), 2000, 0.05
+#: Where the margins lie between the gains of clean texts (0) and of texts garbled on purpose (1), for UTF-8 bytes and for others.
+NEAR, NEAR_OTHER = 0.1, 0.5
+#: Characters in a run from which on it may be a word of another legacy encoding.
+RUN = 3
+#: Distinct spots a worker remembers the decision on; the memory changes no result.
+REMEMBERED = 100_000
 
 
 def _byte_of(encoding: str) -> dict[str, int]:
@@ -45,6 +56,7 @@ def _byte_of(encoding: str) -> dict[str, int]:
 
 BYTES = {e: _byte_of(e) for e in ENCODINGS}
 _CHARS = {e: {b: c for c, b in m.items()} for e, m in BYTES.items()}
+_CHARS_OF = {e: {b: c for c, b in _byte_of(e).items()} for e in WRITTEN}
 
 
 def _set(characters) -> str:
@@ -57,8 +69,9 @@ REFERENCE = r"&#(?:1[2-9]\d|[2-9]\d\d|\d{4,6});"
 SUSPICIOUS = f"{_PAIRS}|\\ufffd|{REFERENCE}"
 BEYOND_ASCII = r"[^\x00-\x7f]"
 #: What every suspicious text matches; a plain class that the JVM tests fast.
-MAYBE = r"[^\x00-\x7f]{2}|\x{fffd}|&#\d{3}"
+MAYBE = r"[^\x00-\x7f]{2}|\x{fffd}|&#\d{3}|\x{00c3} "
 _suspicious = re.compile(SUSPICIOUS).search
+_odd = re.compile(r"[^\x00-\x7f]{%d}|\u00c3 " % RUN).search
 _reference = re.compile(r"&#(\d{3,6});")
 _sequences = {
     e: re.compile("|".join(f"[{_set(c for c, b in m.items() if low <= b <= high)}]" + f"[{_set(c for c, b in m.items() if b < 0xC0)}]{{{n}}}" for low, high, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))))
@@ -91,6 +104,27 @@ def garbled(text: str, encoding: str) -> str:
     return "".join(c if c < "\x80" else "".join(m[b] for b in c.encode()) for c in text)
 
 
+def written(text: str, read: str, wrote: str) -> str | None:
+    """The text if its bytes, read as one legacy encoding, were of another; None where some character is not of the first or stays undefined."""
+    m = BYTES[read]
+    if not all(c < "\x80" or c in m for c in text):
+        return None
+    out = "".join(c if c < "\x80" else _CHARS_OF[wrote].get(m[c], "\ufffd") for c in text)
+    return None if "\ufffd" in out or any("\x80" <= c < "\xa0" for c in out) else out
+
+
+def legacy(text: str) -> dict[str, str]:
+    """Chain to text for every pair of legacy encodings, for a run long enough to be a word; single characters tell too little."""
+    out: dict[str, str] = {}
+    if sum(c > "\x7f" for c in text) < RUN:
+        return out
+    for read in ENCODINGS:
+        for wrote in WRITTEN:
+            if wrote != read and (other := written(text, read, wrote)) not in (None, text) and other not in out.values():
+                out[f"{read}<{wrote}"] = other
+    return out
+
+
 def candidates(text: str) -> dict[str, str]:
     """Chain to text, for every chain that changes the text."""
     out: dict[str, str] = {}
@@ -105,6 +139,8 @@ def candidates(text: str) -> dict[str, str]:
         for second in ENCODINGS:
             if (twice := reread(once, second)) != once:
                 out[f"{first}+{second}"] = twice
+    if plain.endswith("\u00c3 "):  # the second byte is a blank that doesn't break, and was made a plain one
+        out["cp1252+blank"] = reread(plain[:-2], "cp1252") + "\u00e0"
     return out
 
 
@@ -120,34 +156,54 @@ def grams(text: str) -> Counter:
     return found
 
 
+def cells(counted: dict[str, float]) -> list[dict[int, float]]:
+    """Cell to count of the trigrams, bigrams and characters of trigrams with their counts."""
+    out: list[dict[int, float]] = [Counter(), Counter(), Counter()]
+    for g, n in counted.items():
+        out[0][_cell(g, 0)] += n
+        for x in (g[:2], g[1:]):
+            out[1][_cell(x, 1)] += n
+        for c in g:
+            out[2][_cell(c, 2)] += n
+    return out
+
+
+def _cell(gram: str, table: int) -> int:
+    return zlib.crc32(gram.encode(errors="replace")) & CELLS[table] - 1
+
+
 @dataclass
 class Model:
-    """log P of trigrams by interpolation of trigram, bigram and character shares; margin is the gain a chain must exceed."""
+    """log P of trigrams by interpolation of trigram, bigram and character shares; the margins are the gains that chains of UTF-8 and of other bytes must exceed, and least_other what a text restored by the latter must score."""
 
-    three: dict[str, float]
-    two: dict[str, float]
-    one: dict[str, float]
+    three: np.ndarray
+    two: np.ndarray
+    one: np.ndarray
     total: float
     margin: float = 0.0
+    margin_other: float = math.inf
+    least_other: float = 0.0
+    known: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def of(cls, counted: dict[str, float]) -> Model:
-        two: Counter = Counter()
-        one: Counter = Counter()
-        for g, n in counted.items():
-            two[g[:2]] += n
-            two[g[1:]] += n
-            for c in g:
-                one[c] += n
-        return cls(dict(counted), dict(two), dict(one), max(1.0, sum(counted.values())))
+        return cls.from_cells(cells(counted))
+
+    @classmethod
+    def from_cells(cls, each: list[dict[int, float]]) -> Model:
+        tables = []
+        for size, own in zip(CELLS, each):
+            t = np.zeros(size, dtype=np.float32)
+            t[np.fromiter(own, dtype=np.int64, count=len(own))] = np.fromiter(own.values(), dtype=np.float32, count=len(own))
+            tables.append(t)
+        return cls(*tables, total=max(1.0, float(sum(each[0].values()))))
 
     def log(self, gram: str) -> float:
         n = self.total
-        character = 1.0
-        for c in gram:
-            character *= (self.one.get(c, 0) + ALPHA) / (3 * n + 70_000 * ALPHA)
-        pairs = (self.two.get(gram[:2], 0) / (2 * n)) * (self.two.get(gram[1:], 0) / (2 * n)) / ((self.one.get(gram[1], 0) + ALPHA) / (3 * n))
-        return math.log(0.8 * self.three.get(gram, 0) / n + 0.15 * pairs + 0.05 * character)
+        one = [float(self.one[_cell(c, 2)]) for c in gram]
+        character = math.prod((x + ALPHA) / (3 * n + 70_000 * ALPHA) for x in one)
+        pairs = (float(self.two[_cell(gram[:2], 1)]) / (2 * n)) * (float(self.two[_cell(gram[1:], 1)]) / (2 * n)) / ((one[1] + ALPHA) / (3 * n))
+        return math.log(0.8 * float(self.three[_cell(gram, 0)]) / n + 0.15 * pairs + 0.05 * character)
 
     def score(self, text: str) -> float:
         """Mean log probability of the trigrams with a character beyond ASCII; a text without any needs no such trigram."""
@@ -155,16 +211,33 @@ class Model:
         n = sum(found.values())
         return sum(k * self.log(g) for g, k in found.items()) / n if n else math.log(1 / self.total) / 2
 
-    def best(self, text: str, left: str = "", right: str = "") -> tuple[str, str, float] | None:
-        """(chain, text, gain) of the likeliest chain, or None where none changes the text. At a tie the shorter chain stands first. left and right are context that stays."""
+    def best(self, text: str, left: str = "", right: str = "", other: bool = False) -> tuple[str, str, float] | None:
+        """(chain, text, gain) of the likeliest chain, or None where none changes the text. At a tie the shorter chain stands first.
+        left and right are context that stays; other: chains between legacy encodings instead of those of UTF-8 bytes."""
         own, best = None, None
-        for chain, other in candidates(text).items():
+        for chain, new in (legacy if other else candidates)(text).items():
             own = self.score(left + unreferenced(text) + right) if own is None else own
-            gain = self.score(left + other + right) - own
+            gain = self.score(left + new + right) - own
             if best is None or gain > best[2] + 1e-9:
-                best = (chain, other, gain)
+                best = (chain, new, gain)
         return best
 
+    def accepted(self, text: str, left: str, right: str) -> tuple[str, str, float] | None:
+        """The chain that passes for a spot: one of UTF-8 bytes, else references, else one between legacy encodings."""
+        key = (left, text, right)
+        if key not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.best(text, left, right)
+            if found and (found[2] > self.margin or found[0] == "references"):
+                self.known[key] = found
+            else:
+                # the words next to a garbled one are garbled too: only what is ASCII next to it is context
+                left, right = _around.split(left)[-1], _around.split(right)[0]
+                found = self.best(text, left, right, True)
+                self.known[key] = found if found and found[2] > self.margin_other and self.score(left + found[1] + right) >= self.least_other else None
+        return self.known[key]
+
 
 def _long(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(id_column).cast("string").alias("id"), *(F.col(f).cast("string").alias(f) for f in fields)).unpivot("id", fields, "field", "text").filter("id IS NOT NULL AND text IS NOT NULL")
@@ -177,22 +250,58 @@ def trained(df: DataFrame, id_column: str, fields: list[str]) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        texts = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not _suspicious(text):
                     total.update(grams(text))
-                    total[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
-
-    counted = beyond.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams_kept = {r[0]: float(r[1]) for r in counted.orderBy(F.desc("n"), "gram").limit(MODEL_GRAMS).collect()}
-    texts = int(grams_kept.pop("", 0))
-    model = Model.of(grams_kept)
+                    texts += 1
+        each = [(k, cell, n) for k, own in enumerate(cells(total)) for cell, n in own.items()] + [(len(CELLS), 0, texts)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in each], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["part", "cell", "n"])
+
+    summed = beyond.select("text").mapInArrow(run, "part int, cell bigint, n double").groupBy("part", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most sum(CELLS) rows
+    each: list[dict[int, float]] = [{} for _ in range(len(CELLS) + 1)]
+    for part, cell, n in zip(*(summed.column(i).to_pylist() for i in range(3))):
+        each[part][cell] = n
+    texts = int(each.pop().get(0, 0))
+    model = Model.from_cells(each)
     sample = sampled_texts(beyond.filter(~F.col("text").rlike(MAYBE)), "text", VALIDATION_ROWS, texts)
-    model.margin = validated(model, [t for t in sample if not _suspicious(t)])
+    clean = [t for t in sample if not _suspicious(t)]
+    model.margin = validated(model, clean)
+    words = sampled_texts(beyond.filter(F.col("text").rlike(MAYBE)), "text", VALIDATION_ROWS, texts)
+    model.margin_other, model.least_other = validated_other(model, [t for t in (*clean, *words) if not _suspicious(t)])
     return model
 
 
+def _spots_of(text: str) -> Iterator[tuple[str, str, str]]:
+    for m in _spot.finditer(text):
+        yield m[0], text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
+
+
+def validated_other(model: Model, clean: list[str]) -> tuple[float, float]:
+    """The margin of chains between legacy encodings, above every gain of a spot of the clean texts and half of the way to the
+    lowest of those of words garbled on purpose, and the score that nine of ten clean words reach. Without any such word that the
+    model restores, nothing passes."""
+    false, true, scores = [], [], []
+    for text in clean:
+        for i, (run, left, right) in enumerate((r, _around.split(a)[-1], _around.split(b)[0]) for r, a, b in _spots_of(text)):
+            if b := model.best(run, left, right, True):
+                false.append(b[2])
+            if sum(c > "\x7f" for c in run) >= RUN:
+                scores.append(model.score(left + run + right))
+                for wrote, read in (("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("cp437", "cp1252"), ("mac_roman", "latin-1"))[i % 4 :: 4]:
+                    try:
+                        bad = run.encode(wrote).decode(read)
+                    except UnicodeError:
+                        continue
+                    if bad != run and (b := model.best(bad, left, right, True)) and b[1] == run:
+                        true.append(b[2])
+    if not true:
+        return math.inf, 0.0
+    high, low = max([0.0, *false]), sorted(true)[len(true) // 20]
+    return high + NEAR_OTHER * (low - high) if low > high else high + abs(high) * NEAR, sorted(scores)[len(scores) // 10]
+
+
 def validated(model: Model, clean: list[str]) -> float:
     """The margin above the gains of the clean texts' own chains, which must not pass, by a part of the way to those of the same texts garbled.
 
@@ -208,25 +317,28 @@ def validated(model: Model, clean: list[str]) -> float:
 
 
 def examined(df: DataFrame, id_column: str, fields: list[str], model: Model | None = None) -> DataFrame:
-    """(id, field, chain, restored, gain) of every garbled value; chain and gain are null where only replacement characters show it.
+    """(id, field, kind, chain, restored, gain) of every garbled value. kind is `decoded`, `references` where only numeric references
+    were resolved, or `lost` where only replacement characters show it; chain and gain are null for the last.
 
     Values without anything suspicious never leave the JVM. Null values and null ids are no cases. A repeated row comes out once.
     """
     model = trained(df, id_column, fields) if model is None else model
+    shared = df.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
     rows = _long(df, id_column, fields).filter(((F.octet_length("text") > F.length("text")) | F.col("text").contains("&#")) & F.col("text").rlike(MAYBE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, f, text in zip(b["id"], b["field"], b["text"]):
-                if _suspicious(text) and (found := spots(text, model)):
-                    out.append((i, f, *found))
-            yield pd.DataFrame(out, columns=["id", "field", "chain", "restored", "gain"])
+                if (_suspicious(text) or _odd(text)) and (found := spots(text, shared.value)):
+                    chain, restored, gain = found
+                    out.append((i, f, "lost" if chain is None else "references" if chain == "references" else "decoded", chain, restored, gain))
+            yield pd.DataFrame(out, columns=["id", "field", "kind", "chain", "restored", "gain"])
 
-    return rows.mapInPandas(run, "id string, field string, chain string, restored string, gain double").distinct()
+    return rows.mapInPandas(run, "id string, field string, kind string, chain string, restored string, gain double").distinct()
 
 
-_spot = re.compile(f"(?:{BEYOND_ASCII}|{REFERENCE})+")
+_spot = re.compile(f"(?:{BEYOND_ASCII}|{REFERENCE})+(?:(?<=\u00c3) (?= ))?")
 
 
 def spots(text: str, model: Model) -> tuple[str | None, str, float | None] | None:
@@ -236,17 +348,13 @@ def spots(text: str, model: Model) -> tuple[str | None, str, float | None] | Non
     pieces, at = [], 0
     for m in _spot.finditer(text):
         left, right = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-        found = None
-        if candidates(m[0]):
-            found = model.best(m[0], left, right)
+        found = model.accepted(m[0], left, right)
         pieces.append(text[at : m.start()])
         at = m.end()
-        if found and found[2] > model.margin or found and found[0] == "references":
+        if found:
             chains[found[0]] += 1
             gains.append(found[2])
-            pieces.append(found[1])
-        else:
-            pieces.append(m[0])
-    if not chains and "�" not in text:
+        pieces.append(found[1] if found else m[0])
+    if not chains and "\ufffd" not in text:
         return None
     return (max(sorted(chains), key=chains.get) if chains else None, "".join(pieces) + text[at:], round(sum(gains) / len(gains), 6) if gains else None)

@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoding_repair.examined(read(spark, sf_dir, "comments"), "document_id", ["comment", "title"])
-    return found.select(F.col("id").alias("document_id"), "field", "chain", "restored", "gain")
+    return found.select(F.col("id").alias("document_id"), "field", "kind", "chain", "restored", "gain")
 
 
 def _own_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from rulewake.llm import encoding_repair as er
 
 CLEAN = [
     "La compañía no explicó qué pasó con el agua, después de 40 años.", "L’été dernier, la santé des élèves n’a pas été évaluée – ça ne se négocie pas.", "Our café pays €18 more; it’s “the price” of lead…",
-    "At 25 °C ± 2 °C the plan yields 17 ½ tons; see § 4.", "The sign said ACÃO VERDE and «Âge et santé».", "Ångström units, ≥ 0.5, α and Γ.", "The word вода was printed.", "naïve résumé nº 40",
+    "At 25 °C ± 2 °C the plan yields 17 ½ tons; see § 4.", "The sign said ACÃO VERDE and «Âge et santé».", "Ångström units, ≥ 0.5, α and Γ.", "The word вода was printed.", "naïve résumé nº 40", "Привет мир, это правило важно для людей.", "Мы живём здесь, и вода важна.",
 ] * 6
 
 
@@ -17,6 +17,7 @@ def model():
         counted.update(er.grams(t))
     m = er.Model.of(counted)
     m.margin = er.validated(m, CLEAN)
+    m.margin_other, m.least_other = er.validated_other(m, CLEAN)
     return m
 
 
@@ -51,3 +52,27 @@ def test_table(spark):
     assert set(got) == {("a", "title"), ("b", "comment"), ("c", "comment"), ("e", "comment")}
     assert got["b", "comment"].restored == CLEAN[0] and got["c", "comment"].chain is None and got["e", "comment"].restored.endswith("café")
     assert er.examined(df.limit(0), "document_id", ["comment", "title"]).count() == 0
+
+
+@pytest.mark.parametrize("wrote, read", [("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1252")])
+def test_one_legacy_encoding_read_as_another(model, wrote, read):
+    for t in ("Привет мир", "вода важна для людей"):
+        raw = t.encode(wrote)
+        try:
+            bad = raw.decode(read)
+        except UnicodeDecodeError:
+            continue
+        found = er.spots(bad, model)
+        assert found and "<" in found[0] and sum(a == b for a, b in zip(found[1], t)) >= 0.6 * len(t), (bad, found)
+
+
+def test_a_blank_in_place_of_the_second_byte(model):
+    text = "nous allons à la plage"
+    m = er.Model.of(dict(er.grams(text * 1)) | dict(er.grams("vient à la rivière à la fin à la santé")))
+    assert er.spots("nous allons Ã  la plage", m)[1] == text
+
+
+def test_kinds(spark):
+    rows = [("a", er.garbled(CLEAN[0], "cp1252")), ("b", "caf&#233; ferm&#233;"), ("c", "lost � here")] + [(f"k{i}", t) for i, t in enumerate(CLEAN)]
+    got = {r.id: r.kind for r in er.examined(spark.createDataFrame(rows, "id string, comment string"), "id", ["comment"]).collect()}
+    assert got == {"a": "decoded", "b": "references", "c": "lost"}

@@ -32,9 +32,13 @@ WORD, CORE = 0.86, 0.9
 #: Titles outside the two cores, and share of those of the other word, from which on a word is no typing error of the other; share of the
 #: other core's titles from which on two cores are two names.
 FREQUENT, FREQUENT_SHARE, EVEN = 3, 0.02, 0.5
-#: Share of organisations' titles from which on a word is vocabulary rather than a name, and the most words of it. A table with a
-#: handful of organisations can't tell a common subject from a common place.
+#: How usual in the table the rarer of two given names must be, against the other, to be none of its typing errors.
+USUAL = 0.3
+#: Share of organisations' titles from which on a word is vocabulary rather than a name, and what bounds the words gathered: no more can
+#: reach the share, since titles have 40 words at most. A table with a handful of organisations can't tell a common subject from a common place.
 VOCABULARY_SHARE, VOCABULARY = 0.02, 2000
+#: Spellings in a band's bucket beyond which it is joined in blocks of this many.
+BLOCK = 400
 
 # Words of names as people type them.
 OPENINGS = "comment comments public mass campaign letter submitted electronically written sponsored on behalf by of from the re filed statement"
@@ -52,6 +56,8 @@ ABBREVIATIONS = {
     "electrical": "electric", "elec": "electric", "fishery": "fisheries", "fish": "fisheries", "wetland": "wetlands", "hsg": "housing", "petrol": "petroleum", "mine": "mining",
 }
 KINDS = "association society institute foundation cooperative council alliance committee federation corporation union coalition company league network club group board authority commission"
+#: Words that are kinds of organisations only at the end of a name without separators, or before `of`.
+MORE_KINDS = "district department center centre university college school church trust fund bureau conservancy partnership tribe nation chamber consortium laboratory hospital library museum ranch works services farms"
 SURROUNDINGS = "north south east west mount fort port greater lower upper old new heights hills harbor parish township county crossing valley island junction springs plains basin bay delta lake camp"
 NICKNAMES = {
     "abigail": "abby gail", "alexander": "alex andy sandy", "andré": "andy", "benjamin": "ben benny", "charles": "charlie chuck", "christopher": "chris kit", "deborah": "deb debbie",
@@ -69,6 +75,7 @@ _opening = set(OPENINGS.split())
 _nobody = set(NOBODY.split())
 _title = set(TITLES.split())
 _kind = set(KINDS.split())
+_more_kind = set(MORE_KINDS.split())
 _around = set(SURROUNDINGS.split())
 _word = re.compile(r"[^\W\d_]+(?:['’.-][^\W\d_]+)*\.?|\d+")
 _suffix = re.compile(r"[,\s]+(?:ph\.?\s?d\.?|m\.?d\.?|p\.?e\.?|esq\.?|j\.?d\.?|r\.?n\.?|jr\.?|sr\.?|i{2,3}|inc\.?|llc|et al\.?|staff)(?=[\s,.)/–—:-]|$)", re.IGNORECASE)
@@ -211,6 +218,7 @@ class Vocabulary:
         joined = {w for w in frequent for i in range(3, len(w) - 2) if w[:i] in frequent and w[i:] in frequent}
         self.words = {w for w in frequent - joined if "-" not in w}
         self.known: dict[str, list[str]] = {}
+        self.counted = counted
 
     def read(self, word: str) -> list[str]:
         """The words of the vocabulary that a word stands for, or the word itself."""
@@ -257,6 +265,14 @@ def kind_like(word: str) -> bool:
     return len(word) > 3 and any((word[0] == k[0] or word[-1] == k[-1]) and edits(word, k, 2) <= (1 if len(k) < 7 else 2) for k in _kind if len(k) > 4 and abs(len(k) - len(word)) <= 2)
 
 
+def other_kind(t: str) -> str | None:
+    """The further kind of organisation at the end of an opened title without separators, or before `of` at its beginning."""
+    found = [bare(w) for w in _word.findall(t)]
+    if len(found) < 3 or re.search(r"[,/(:–—]| - ", t):
+        return None
+    return found[-1] if found[-1] in _more_kind else found[0] if found[0] in _more_kind and found[1] == "of" else None
+
+
 def organisation(title: str) -> bool:
     """Whether some word of a title is, or is short for, a kind of organisation, or an acronym stands for subject and kind."""
     t = opened(title)
@@ -266,7 +282,7 @@ def organisation(title: str) -> bool:
         return not (len(found) <= 4 and all(len(w) == 1 for w, f in zip(found, full) if f in _kind))
     if any(kind_like(w) for w in found):
         return True
-    return found[-1:] == ["coal"] or len(found) > 2 and "coal" in found or short_name(t) is not None
+    return found[-1:] == ["coal"] or len(found) > 2 and "coal" in found or short_name(t) is not None or other_kind(t) is not None
 
 
 def parsed(title: str, vocabulary: Vocabulary) -> tuple[str, list[str], str, str] | None:
@@ -287,18 +303,24 @@ def _organisation(t: str, vocabulary: Vocabulary) -> tuple[str, list[str], str,
         acronym = None
     rest = t[: acronym.start()] if acronym else t
     place, around, subject, kind = [], [], [], []
+    further = other_kind(t)
     for w in _word.findall(rest):
         if bare(w) in _title or bare(w) in ("of", "for", "the", "and", "city", "town", "a"):
             continue
         for x in vocabulary.read(w.lower()):
-            if x in _kind:
+            if x in _kind or x == further:
                 kind.append(x)
             elif x in _around:
                 around.append(x)
             elif x in vocabulary.words:
                 subject.append(x)
-            elif len(x) > 2:
+            elif len(x) > 1:
                 place.append(x)
+    if any(len(x) > 2 for x in place):
+        place = [x for x in place if len(x) > 2]
+    if not place and len(set(subject)) > 1:  # a place so frequent that it passes for vocabulary, or a name of such words alone
+        place = [min(subject, key=lambda w: (vocabulary.counted.get(w, 0), w))]
+        subject = [w for w in subject if w != place[0]]
     if not place:
         return None
     if not kind and not acronym and bare(_word.findall(rest)[-1]) == "coal":  # the abbreviation of a coalition whose stop went with the end
@@ -316,7 +338,9 @@ def _person(t: str) -> tuple[str, list[str], str, str] | None:
         if m := re.match(pattern, t, re.IGNORECASE):
             place, name = m[p], m[n]
             break
-    where = [bare(w) for w in _word.findall(place) if bare(w) not in _title and len(bare(w)) > 2]
+    where = [bare(w) for w in _word.findall(place) if bare(w) not in _title and len(bare(w)) > 1]
+    if any(len(w) > 2 for w in where):  # short words are the place only where there is no other
+        where = [w for w in where if len(w) > 2]
     parts = [[w for i, w in enumerate(_word.findall(p)) if i == 0 and _initials(w) or bare(w).replace(".", "") not in _title] for p in name.split(",")]
     parts = [p for p in parts if p]
     if not where or not parts:
@@ -325,7 +349,7 @@ def _person(t: str) -> tuple[str, list[str], str, str] | None:
         surname, given = parts[0][-1], parts[1]
     else:
         surname, given = parts[0][-1], parts[0][:-1]
-    if len(bare(surname)) < 3:
+    if len(bare(surname)) < 2:
         return None
     first = bare(given[0]).split(".")[0] if given else ""
     return "p", sorted([bare(surname), *where]), "", first
@@ -427,12 +451,22 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("core_id").join(decided, "core_id", "left").select("core_id", F.coalesce("centre", "core_id").alias("centre"))
 
 
-def resolved(givens: list[str], counts: list[int]) -> list[str]:
+def misspelt(a: str, b: str, titles_a: int = 1, titles_b: int = 1) -> bool:
+    """Whether one given name is a typing error of the other: alike, not both usual in the table, and not parted by another vowel at the end alone, as many names of men and women are."""
+    if alike(a, b) < WORD or min(titles_a, titles_b) >= max(FREQUENT, USUAL * max(titles_a, titles_b)):
+        return False
+    return a == b or len(a) != len(b) or a[:-1] != b[:-1] or not {a[-1], b[-1]} <= set("aeiouy")
+
+
+def resolved(givens: list[str], counts: list[int], titles: list[int] | None = None) -> list[str]:
     """For the given names met with one surname and place, the name that each stands for.
 
-    Full names are centres, the most frequent first; a typing error goes to the centre it is one or two edits from, a nickname
-    to a centre it is short for, an initial to the most frequent centre with that letter.
+    Full names are centres, the most frequent first; a typing error goes to the centre it is one or two edits from, a nickname,
+    or the beginning of a name, to a centre it is short for, an initial to the most frequent centre with that letter. titles
+    says in how many titles of the table each given name stands, apart from this surname and place.
     """
+    titles = titles or [1] * len(givens)
+    seen = dict(zip(givens, titles))
     order = sorted(range(len(givens)), key=lambda i: (-counts[i], givens[i]))
     centres: list[str] = []
     out = [""] * len(givens)
@@ -442,9 +476,9 @@ def resolved(givens: list[str], counts: list[int]) -> list[str]:
             g = givens[i]
             if out[i] or len(g) < 2 or g in _formal and g not in _full_names or (g in _full_names) != certain:
                 continue
-            near = [] if certain else [c for c in centres if alike(g, c) >= WORD]
+            near = [] if certain else [c for c in centres if misspelt(g, c, seen[g], seen.get(c, 1)) or len(g) > 2 and len(c) > len(g) + 2 and c.startswith(g)]
             if not near and not certain:
-                near = [c for _, c in sorted((-alike(g, c), c) for c in _full_names if c[0] == g[0] and alike(g, c) >= 0.9)]
+                near = [c for _, c in sorted((-alike(g, c), c) for c in _full_names if c[0] == g[0] and alike(g, c) >= 0.9 and misspelt(g, c, seen[g]))]
             out[i] = near[0] if near else g
             if out[i] not in centres:
                 centres.append(out[i])
@@ -479,7 +513,8 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
                 if organisation(t):
                     found[""] += 1
                     found.update({bare(w) for w in _word.findall(opened(t)) if not w.endswith(".")})
-            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     counted = titles.select("title").mapInPandas(tokens, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = {r[0]: r[1] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
@@ -492,7 +527,8 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
             for t, n in zip(b["title"], b["n"]):
                 if p := parsed(t, vocabulary):
                     out.append((t, n, *p))
-            yield pd.DataFrame(out, columns=["title", "n", "sort", "core", "code", "given"])
+            if out:
+                yield pd.DataFrame(out, columns=["title", "n", "sort", "core", "code", "given"])
 
     named = titles.mapInPandas(parse, "title string, n bigint, sort string, core array<string>, code string, given string")
     named = stored(named.withColumn("core_id", F.xxhash64("sort", "core", "code")), "names")
@@ -515,7 +551,13 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
 
     keys = cores.select("core_id", "sort", "core", "code").mapInPandas(band, "core_id bigint, band int, key bigint")
     # only cores meet here, each spelling once however often it was typed, so that a bucket holds the spellings of a few names
-    shared = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.core_id") < F.col("y.core_id")))
+    # and a bucket of very many is cut into blocks, each pair of which is a task's share of its own
+    large = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    parted = keys.join(large, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("core_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = parted.select("core_id", "band", "key", F.col("own").alias("i"), every.alias("j"))
+    second = parted.select("core_id", "band", "key", F.col("own").alias("j"), every.alias("i"))
+    shared = first.alias("x").join(second.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "key", "i", "j")]).filter("x.core_id < y.core_id")
     pairs = shared.select(F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b")).distinct()
     each = cores.select("core_id", "n", F.posexplode("core").alias("place", "word"))
     counts = each.join(each.groupBy("word").agg(F.sum("n").alias("titles")), "word").groupBy("core_id").agg(F.array_sort(F.collect_list(F.struct("place", "titles")))["titles"].alias("titles"))
@@ -535,11 +577,13 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     centres = stars(cores.select("core_id", "n"), edges)
     placed = named.join(centres, "core_id").select("title", "n", "sort", "given", "centre")
     # the given names met with one surname and place are few, however many rows have them
-    sets = placed.filter("sort = 'p'").groupBy("centre", "given").agg(F.sum("n").alias("n")).groupBy("centre").agg(F.collect_list(F.struct("given", "n")).alias("givens"))
+    each_given = placed.filter("sort = 'p'").groupBy("centre", "given").agg(F.sum("n").alias("n"))
+    in_all = each_given.groupBy("given").agg(F.sum("n").alias("titles"))
+    sets = each_given.join(in_all, "given").groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("given", "n", (F.col("titles") - F.col("n")).alias("titles")))).alias("givens"))
 
     @F.pandas_udf("array<string>")
     def stands_for(givens: pd.Series) -> pd.Series:
-        return pd.Series([resolved([g["given"] for g in x], [g["n"] for g in x]) for x in givens])
+        return pd.Series([resolved(*([g[c] for g in x] for c in ("given", "n", "titles"))) for x in givens])
 
     named_in_full = sets.select("centre", F.explode(F.arrays_zip(F.col("givens.given").alias("given"), stands_for("givens").alias("name"))).alias("x")).select("centre", F.col("x.given").alias("given"), F.col("x.name").alias("name"))
     persons = placed.filter("sort = 'p'").join(named_in_full, ["centre", "given"]).select("title", "sort", F.xxhash64("centre", "name").alias("entity"))
@@ -547,6 +591,12 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     return rows.join(persons.unionByName(organisations), "title").select("id", "entity", "sort").distinct()
 
 
+def members(entities: DataFrame) -> DataFrame:
+    """(id, entity, sort, n_links): the class of each id and the number of other ids in it, instead of all pairs."""
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("n"))
+    return entities.join(sizes, "entity").select("id", "entity", "sort", (F.col("n") - 1).alias("n_links"))
+
+
 def pairs(entities: DataFrame) -> DataFrame:
     """(id_a, id_b) of distinct ids of one entity, the smaller first: as many rows as the result asks for, by a join on the entity."""
     a, b = entities.select(F.col("id").alias("id_a"), "entity"), entities.select(F.col("id").alias("id_b"), "entity")

@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants.linked(read(spark, sf_dir, "comments"), "document_id", "title").withColumnRenamed("id", "document_id")
+    return name_variants.members(name_variants.linked(read(spark, sf_dir, "comments"), "document_id", "title")).withColumnRenamed("id", "document_id")
 
 
 #: The labels of the audit, in the order in which ties are settled.

@@ -117,3 +117,63 @@ def test_words():
 
 def test_empty_table(spark):
     assert nv.linked(spark.createDataFrame([], "document_id string, title string, entity int"), "document_id", "title").count() == 0
+
+
+def test_names_of_two_letters_further_kinds_and_frequent_places(spark):
+    rows = [("a1", "Wei Li, Oakford"), ("a2", "Li, Wei (Oakford)"), ("b1", "Dr. Amy Wu, Oakford"), ("b2", "Amy Wu – Oakford"), ("c1", "Comment from Oakford Water District"), ("c2", "Oakford Water District"), ("d1", "University of Velmoor"), ("d2", "University of Velmoor")]
+    rows += [(f"h{i}", f"{'Comments of ' * (i % 2)}Hotplace Water Association{' ' * (i % 7)}") for i in range(200)]
+    got = {r.id: r.entity for r in nv.linked(spark.createDataFrame(rows, "id string, title string"), "id", "title").collect()}
+    assert set(got) == {i for i, _ in rows}
+    for a, b in (("a1", "a2"), ("b1", "b2"), ("c1", "c2"), ("d1", "d2"), ("h0", "h199")):
+        assert got[a] == got[b]
+    assert len(set(got.values())) == 5
+
+
+def test_given_names_of_men_and_women_stay_apart():
+    assert len(set(nv.resolved(["marie", "maria"], [3, 2]))) == 2 and len(set(nv.resolved(["ann", "anna"], [3, 2], [40, 30]))) == 2
+    assert len(set(nv.resolved(["norvell", "norvel"], [5, 1]))) == 1 and len(set(nv.resolved(["konstantin", "konst", "k"], [5, 1, 1]))) == 1
+    assert len(set(nv.resolved(["jared", "jarod"], [5, 4], [40, 30]))) == 2
+
+
+def test_members_count_their_links(spark):
+    entities = spark.createDataFrame([("a", 1, "p"), ("b", 1, "p"), ("c", 2, "o")], "id string, entity bigint, sort string")
+    assert {r.id: r.n_links for r in nv.members(entities).collect()} == {"a": 1, "b": 1, "c": 0}
+
+
+def test_recall_by_kind_of_variant(spark):
+    import random
+
+    r = random.Random(5)
+    made = lambda: "".join(r.choice("b d f g k l m n p r s t v z".split()) + r.choice("aeiou") for _ in range(r.randint(3, 4))) + r.choice(["n", "rt", "sk", "ll"])
+    def typo(w, at):
+        return w[:at] + r.choice("bcdfgklmnprst".replace(w[at], "")) + w[at + 1 :]
+
+    def swapped(w):
+        k = r.randint(1, len(w) - 3)
+        return w[:k] + w[k + 1] + w[k] + w[k + 2 :]
+
+    rows, expected = [], []
+    for i in range(120):
+        given, surname, place = made().capitalize(), made(), made()
+        title = lambda g, s, p: f"{g} {s.capitalize()}, {p.capitalize()}"
+        rows += [(f"{i}-base{k}", title(given, surname, place)) for k in range(2)]
+        variants = {
+            "typo": title(given, typo(surname, r.randint(1, len(surname) - 2)), place),
+            "exchange": title(given, swapped(surname), place),
+            "first": title(given, typo(surname, 0), place),
+            "first of place": title(given, surname, typo(place, 0)),
+            "order": f"{surname.upper()}, {given} ({place.capitalize()})",
+            "initial": title(given[0] + ".", surname, place),
+            "beginning": title(given[:3] + ".", surname, place),
+        }
+        rows += [(f"{i}-{kind}", t) for kind, t in variants.items()]
+        expected += [(f"{i}-base0", f"{i}-{kind}", kind) for kind in variants]
+    got = {x.id: x.entity for x in nv.linked(spark.createDataFrame(rows, "id string, title string"), "id", "title").collect()}
+    hits = {}
+    for a, b, kind in expected:
+        hits.setdefault(kind, []).append(got.get(a) is not None and got.get(a) == got.get(b))
+    assert all(sum(h) / len(h) >= 0.9 for h in hits.values()), {k: round(sum(h) / len(h), 3) for k, h in hits.items()}
+    persons = {}
+    for i, e in got.items():
+        persons.setdefault(e, set()).add(i.split("-")[0])
+    assert sum(len(x) == 1 for x in persons.values()) / len(persons) > 0.97

@@ -24,12 +24,21 @@ UNCHANGED, EDITED, MODIFIED = 0.95, 0.85, 0.55
 THRESHOLD = 0.3
 
 
-def blocks(df: DataFrame, prefix: str, block: int = BLOCK) -> DataFrame:
-    """(key, ids, vectors) from (key, id, vector): a key with many vectors is spread over as many blocks by a hash of the ids."""
-    counts = df.groupBy("key").agg(F.count("*").alias("n"))
-    placed = df.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
-    packed = placed.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("rows"))
-    return packed.select("key", F.col("rows.id").alias(f"{prefix}_ids"), F.col("rows.vector").alias(f"{prefix}_vectors"))
+def blocks(df: DataFrame, prefix: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(key, block, ids, vectors) from (key, id, vector), a key with many vectors spread over as many blocks by a hash of the ids, and (key, blocks), their number."""
+    counts = df.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(f"{prefix}_blocks"))
+    placed = df.join(counts, "key").withColumn(f"{prefix}_block", F.pmod(F.xxhash64("id"), F.col(f"{prefix}_blocks")).cast("int"))
+    packed = placed.groupBy("key", f"{prefix}_block").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("rows"))
+    return packed.select("key", f"{prefix}_block", F.col("rows.id").alias(f"{prefix}_ids"), F.col("rows.vector").alias(f"{prefix}_vectors")), counts
+
+
+def met_blocks(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every pair of blocks with one key. Both block numbers are part of the join key, so a key with many blocks is spread over many tasks."""
+    (q, n_q), (i, n_i) = blocks(queries, "q", block), blocks(items, "i", block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(n_i, "key").withColumn("i_block", every("i_blocks")).drop("i_blocks")
+    right = i.join(n_q, "key").withColumn("q_block", every("q_blocks")).drop("q_blocks")
+    return left.join(right, ["key", "q_block", "i_block"]).select("key", "q_ids", "q_vectors", "i_ids", "i_vectors")
 
 
 def _matrix(rows) -> np.ndarray:
@@ -45,7 +54,7 @@ def best_pairs(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK)
     """
     prepare(queries.sparkSession)
     clean = lambda d: d.filter("key IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL").select("key", "id", "vector")
-    met = blocks(clean(queries), "q", block).join(blocks(clean(items), "i", block), "key")
+    met = met_blocks(clean(queries), clean(items), block)
     kinds = {n: met.schema[n].dataType for n in ("key", "q_ids", "i_ids")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

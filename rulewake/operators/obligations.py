@@ -16,7 +16,7 @@ from rulewake.session import prepare
 #: Characters behind a kept marker in which another one is ignored.
 QUIET = 200
 # Phrases that announce an amendment, with its kind.
-_P = r"\([a-z0-9ivx]+\)"
+_P = r"\([a-z0-9ivx]+\)"  # a paragraph's label
 AMENDMENTS = [
     (r"is\s+revised\s+to\s+read\s+as\s+follows", "revise"),
     (r"is\s+amended\s+to\s+read\s+as\s+follows", "revise"),
@@ -47,18 +47,22 @@ OVERLAP = 0.80
 
 
 def blocks(binding: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the parts of a text between amendment phrases; the longest phrase at a place counts, then silence for QUIET characters."""
-    marks = sorted((m.start(), -m.end(), kind) for pattern, kind in _amendments for m in pattern.finditer(binding))
-    starts: list[tuple[int, str]] = []
-    quiet = 0
-    for start, end, kind in marks:
-        if not starts or start >= quiet:
-            starts.append((start, kind))
-            quiet = -end + QUIET
-    if not starts or starts[0][0] > 0:
-        starts.insert(0, (0, "none"))
-    ends = [s for s, _ in starts[1:]] + [len(binding)]
-    return [(s, e, kind) for (s, kind), e in zip(starts, ends)]
+    """(start, end, kind) of the parts of a text between amendment phrases; the longest phrase at a place counts, then silence for QUIET characters.
+
+    A text without such a phrase, and what stands before the first one, is of kind none.
+    """
+    longest: dict[int, tuple[int, str]] = {}
+    for pattern, kind in _amendments:
+        for m in pattern.finditer(binding):
+            if m.end() > longest.get(m.start(), (-1, ""))[0]:
+                longest[m.start()] = (m.end(), kind)
+    bounds, heard = ([(0, "none")] if 0 not in longest else []), 0
+    for start in sorted(longest):
+        if start >= heard:
+            end, kind = longest[start]
+            bounds.append((start, kind))
+            heard = end + QUIET
+    return [(start, until, kind) for (start, kind), (until, _) in zip(bounds, bounds[1:] + [(len(binding), "")])]
 
 
 def _last(found: list[tuple[int, str]], offset: int) -> str | None:
@@ -115,47 +119,87 @@ def without_repeats(rows: DataFrame, threshold: float = OVERLAP) -> DataFrame:
     return rows.join(repeated, ["doc_id", "row_id"], "left_anti")
 
 
-_space = re.compile(r"\s+")
-_page = re.compile(r"\s*\[\[Page \d+\]\]\s*")
+_gap = re.compile(r"(?:\s|\[\[Page \d+\]\])+")
 _labels = re.compile(r"^\s*(?:\([A-Za-z0-9]+\)\s*){1,3}")
+#: Characters of the beginnings by which a text is looked for.
+BEGINNINGS = (100, 60)
+#: Obligations that share one copy of their document.
+TOGETHER = 500
+
+
+class Document:
+    """A text in which other texts are found, white space and page marks aside."""
+
+    def __init__(self, body: str):
+        self.body = body
+        pieces, self.flat_starts, self.body_starts = [], [], []
+        at = flat = 0
+        for m in _gap.finditer(body):
+            for piece, start in ((body[at : m.start()], at), (" ", m.start())):
+                if piece:
+                    pieces.append(piece)
+                    self.flat_starts.append(flat)
+                    self.body_starts.append(start)
+                    flat += len(piece)
+            at = m.end()
+        pieces.append(body[at:])
+        self.flat_starts.append(flat)
+        self.body_starts.append(at)
+        self.flat = "".join(pieces)
+
+    def place(self, i: int) -> int:
+        """Where a character of the flat text stands in the body; a gap stands where it begins."""
+        k = bisect.bisect_right(self.flat_starts, i) - 1
+        return self.body_starts[k] + i - self.flat_starts[k]
+
+    def find(self, wanted: str) -> tuple[int, int] | None:
+        """Offsets of what of a text is found first: all of it, its first 100 or 60 characters, all but its leading labels, or the first 60 characters of that.
+
+        The first three are looked for as they are, and then, like the others, with white space made one blank. The end is
+        that of what was found, not of the whole text.
+        """
+        bare = _labels.sub("", wanted, count=1)
+        parts = [(wanted, True), *((wanted[:n], True) for n in BEGINNINGS)] + ([(bare, False), (bare[: BEGINNINGS[-1]], False)] if bare != wanted else [])
+        seen: set[tuple[str, bool]] = set()
+        for part, exact in parts:
+            if not part or (part, exact) in seen:
+                continue
+            seen.add((part, exact))
+            if exact and (i := self.body.find(part)) >= 0:
+                return i, i + len(part)
+            flat = " ".join(part.split())
+            if flat and (i := self.flat.find(flat)) >= 0:
+                return self.place(i), self.place(i + len(flat) - 1) + 1
+        return None
 
 
 def find(document: str, wanted: str) -> tuple[int, int] | None:
-    """Offsets of a text in a document, white space and page marks aside: the whole text, without its leading labels, or by its first 100 or 60 characters."""
-    pieces, places = [], []
-    at = 0
-    for m in re.finditer(r"\s*\[\[Page \d+\]\]\s*|\s+", document):
-        for i in range(at, m.start()):
-            pieces.append(document[i])
-            places.append(i)
-        if pieces and pieces[-1] != " " or not pieces:
-            pieces.append(" ")
-            places.append(m.start())
-        at = m.end()
-    for i in range(at, len(document)):
-        pieces.append(document[i])
-        places.append(i)
-    flat = "".join(pieces)
-    whole = _space.sub(" ", _page.sub(" ", wanted)).strip()
-    bare = _labels.sub("", whole, count=1)
-    for tried in (whole, bare, whole[:100], bare[:100], bare[:60]):
-        if tried and (i := flat.find(tried)) >= 0:
-            last = min(i + max(len(tried), len(whole) if len(tried) in (60, 100) else len(tried)), len(places)) - 1
-            return places[i], places[last] + 1
-    return None
+    return Document(document).find(wanted)
 
 
 def with_places(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds start and end of each obligation_text in its document, null where it is not found or the document is missing. rows and documents share doc_id."""
-    prepare(rows.sparkSession)
-    joined = rows.join(documents.select("doc_id", F.col("text").alias("_document")), "doc_id", "left")
+    """Adds start and end of each obligation_text in its document, null where it is not found or the document is missing. rows and documents share doc_id.
 
-    @F.pandas_udf("struct<start:int,end:int>")
-    def place(document: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        found = [find(d, w) if isinstance(d, str) and isinstance(w, str) else None for d, w in zip(document, wanted)]
-        return pd.DataFrame({"start": pd.array([f[0] if f else None for f in found], "Int32"), "end": pd.array([f[1] if f else None for f in found], "Int32")})
+    A document travels once for at most about TOGETHER of its obligations, and its index is built once for them; a document
+    with very many is spread over as many groups. Rows are told apart by their text, so repeated texts are looked for once.
+    """
+    prepare(rows.sparkSession)
+    wanted = rows.select("doc_id", "obligation_text").dropna().distinct()
+    sizes = wanted.groupBy("doc_id").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
+    grouped = wanted.join(sizes, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("obligation_text"), F.col("groups")).alias("part")).agg(F.collect_list("obligation_text").alias("texts"))
+    met = grouped.join(documents.select("doc_id", F.col("text").alias("document")).filter("document IS NOT NULL"), "doc_id").select("doc_id", "texts", "document")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    return joined.withColumn("_place", place("_document", "obligation_text")).withColumn("start", F.col("_place.start")).withColumn("end", F.col("_place.end")).drop("_document", "_place")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, texts, body in zip(b["doc_id"], b["texts"], b["document"]):
+                own = Document(body)
+                found = [(key, t, *p) for t in texts if (p := own.find(t))]
+                if found:
+                    yield pd.DataFrame(found, columns=["doc_id", "obligation_text", "start", "end"])
+
+    placed = met.mapInPandas(run, f"doc_id {kind}, obligation_text string, start int, end int")
+    return rows.join(placed, ["doc_id", "obligation_text"], "left").select(*rows.columns, "start", "end")
 
 
 def similarity(a: str, b: str) -> float:

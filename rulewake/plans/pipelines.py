@@ -15,10 +15,9 @@ SEED = 20260501
 MIX = {"organizational": 0.4, "individual": 0.4, "other": 0.2}
 
 
-def _comments(spark, d):
-    """One row per comment id."""
-    c = read(spark, d, "comments").groupBy("document_id").agg(*(F.min(x).alias(x) for x in ("docket_id", "comment", "title", "text_source", "agency", "data_year")), F.bool_or("is_attachment_only").alias("is_attachment_only"))
-    return c
+def _comments(spark, d, *columns):
+    """One row per comment id with the columns asked for: texts that nobody reads are neither read nor shuffled."""
+    return read(spark, d, "comments").groupBy("document_id").agg(*(F.min(x).alias(x) for x in columns or ("docket_id",)))
 
 
 def _verified(spark, d):
@@ -38,12 +37,12 @@ def sm1_shortfalls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sm2_quota(spark: SparkSession, d: str) -> DataFrame:
-    c = _comments(spark, d).select("document_id", text.submitter_kind(F.col("title")).alias("kind"))
+    c = _comments(spark, d, "title").select("document_id", text.submitter_kind(F.col("title")).alias("kind"))
     return sampling.by_quota(c, "kind", 300, MIX, SEED, "document_id").select("document_id", "kind", "sample_index")
 
 
 def sm3_capped_cells(spark: SparkSession, d: str) -> DataFrame:
-    c = _comments(spark, d).select("document_id", "agency", "data_year")
+    c = _comments(spark, d, "agency", "data_year")
     return sampling.capped_cells(c, ["agency", "data_year"], 10, 400, SEED, "document_id")
 
 
@@ -67,11 +66,17 @@ def sm8_simple(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c1_exact_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.exact(_comments(spark, d), "document_id", "comment", "docket_id").select(F.col("id").alias("document_id"), "scope", "cluster")
+    return clusters.exact(_comments(spark, d, "docket_id", "comment"), "document_id", "comment", "docket_id").select(F.col("id").alias("document_id"), "scope", "cluster")
 
 
 def c2_near_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.near(_comments(spark, d), "document_id", "comment", "docket_id").select(F.col("id").alias("document_id"), "scope", "cluster")
+    return clusters.near(_comments(spark, d, "docket_id", "comment"), "document_id", "comment", "docket_id").select(F.col("id").alias("document_id"), "scope", "cluster")
+
+
+def c2_near_clusters_three(spark: SparkSession, d: str) -> DataFrame:
+    """At three words, similarity 0.7 and 32 bands of 4, each class named by its docket and smallest id."""
+    near = clusters.near(_comments(spark, d, "docket_id", "comment").filter("docket_id IS NOT NULL"), "document_id", "comment", "docket_id", 3, 0.7, 32, 4)
+    return near.select(F.col("id").alias("document_id"), F.concat_ws("::", "scope", F.col("cluster")).alias("cluster_near"))
 
 
 def c3_components(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +155,7 @@ def st27_structure(spark: SparkSession, d: str) -> DataFrame:
 
 def c22_labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     m = read(spark, d, "stage4_matches").select("comment_id", "obligation_id").dropna().distinct()
-    c = _comments(spark, d).select(F.col("document_id").alias("comment_id"), text.elided(F.col("comment")).alias("c"))
+    c = _comments(spark, d, "comment").select(F.col("document_id").alias("comment_id"), text.elided(F.col("comment")).alias("c"))
     o = _verified(spark, d).select("obligation_id", F.coalesce("obligation_text", F.lit("")).alias("o"))
     prompts = m.join(c, "comment_id").join(o, "obligation_id").select("comment_id", "obligation_id", F.concat_ws("|||", "c", "o").alias("prompt"))
     answer = labels.match_answer(F.col("answer"))
@@ -229,14 +234,37 @@ def _outcomes(same: str) -> str:
             UNION ALL SELECT k, fid, 'NEW', NULL, MAX(c) FROM x GROUP BY 1, 2 HAVING MAX(c) < 0.55)"""
 
 
+def _near(size: int, similar: float) -> str:
+    """Classes of each docket by the exact similarity of all pairs that share a run of words, and everything reachable through them."""
+    return f"""WITH RECURSIVE {_C}, t AS (SELECT document_id, COALESCE(docket_id, '') AS docket_id, regexp_extract_all(lower(COALESCE(comment, '')), '[a-z0-9]+') AS w FROM c),
+        u AS (SELECT docket_id, MIN(document_id) AS rep, w FROM t WHERE LEN(w) > 0 GROUP BY docket_id, w),
+        s AS (SELECT docket_id, rep, unnest(list_distinct(CASE WHEN LEN(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, LEN(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) END)) AS g FROM u),
+        n AS (SELECT docket_id, rep, COUNT(*) AS n FROM s GROUP BY 1, 2), x AS (SELECT x.docket_id, x.rep AS a, y.rep AS b, COUNT(*) AS k FROM s x JOIN s y ON x.docket_id = y.docket_id AND x.g = y.g AND x.rep <> y.rep GROUP BY 1, 2, 3),
+        e AS (SELECT x.docket_id, x.a, x.b FROM x JOIN n p ON p.docket_id = x.docket_id AND p.rep = x.a JOIN n q ON q.docket_id = x.docket_id AND q.rep = x.b WHERE x.k >= {similar} * (p.n + q.n - x.k)),
+        reach AS (SELECT docket_id, rep AS id, rep AS root FROM u UNION SELECT r.docket_id, e.b, r.root FROM reach r JOIN e ON e.docket_id = r.docket_id AND e.a = r.id),
+        l AS (SELECT docket_id, id, MIN(root) AS root FROM reach GROUP BY 1, 2),
+        f AS (SELECT t.document_id, t.docket_id, l.root FROM t LEFT JOIN u ON u.docket_id = t.docket_id AND u.w = t.w LEFT JOIN l ON l.docket_id = u.docket_id AND l.id = u.rep)"""
+
+
 SQL = {
     "sm1_stratified": f"WITH {_A} SELECT docket_id, year_cluster, selection_method, CAST(r AS INT) AS draw_rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY year_cluster, selection_method ORDER BY {_KEY.format(id='docket_id')}, docket_id) AS r FROM a) WHERE r <= 5",
     "sm1_shortfalls": f"WITH {_A} SELECT year_cluster, selection_method, COUNT(*) AS pool_size, LEAST(COUNT(*), 20) AS drawn, GREATEST(20 - COUNT(*), 0) AS shortfall FROM a GROUP BY 1, 2",
     "sm2_quota": f"""WITH {_C}, k AS (SELECT document_id, {KIND} AS kind, {_KEY.format(id='document_id')} AS h FROM (SELECT document_id, {TITLE} AS t FROM c)),
         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY h, document_id) <= CASE kind WHEN 'other' THEN 60 ELSE 120 END AS q FROM k), s AS (SELECT *, ROW_NUMBER() OVER (ORDER BY q DESC, h, document_id) - 1 AS i FROM r)
         SELECT document_id, kind, CAST(i AS INT) AS sample_index FROM s WHERE i < 300""",
-    "sm3_capped_cells": f"""WITH {_C}, r AS (SELECT document_id, agency, data_year, {_KEY.format(id='document_id')} AS h FROM c), s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY agency, data_year ORDER BY h, document_id) <= 10 AS q FROM r)
-        SELECT document_id, agency, data_year FROM s ORDER BY q DESC, h, document_id LIMIT 400""",
+    "sm3_capped_cells": f"""WITH {_C}, k AS (SELECT agency, data_year, COUNT(*) AS n FROM c GROUP BY 1, 2),
+        x AS (SELECT GREATEST(400 - SUM(LEAST(n, 10)), 0) // NULLIF(COUNT(*) FILTER (n > 10), 0) AS extra FROM k),
+        r AS (SELECT document_id, agency, data_year, {_KEY.format(id='document_id')} AS h FROM c), s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY agency, data_year ORDER BY h, document_id) AS i FROM r)
+        SELECT document_id, agency, data_year FROM s, x WHERE i <= 10 + COALESCE(extra, 0) ORDER BY h, document_id LIMIT 400""",
+    "c2_near_clusters": f"{_near(5, 0.8)} SELECT document_id, docket_id AS scope, COALESCE(root, document_id) AS cluster FROM f",
+    "c2_near_clusters_three": f"{_near(3, 0.7)} SELECT document_id, docket_id || '::' || COALESCE(root, document_id) AS cluster_near FROM f WHERE docket_id <> ''",
+    "c3_components": """WITH RECURSIVE m AS (SELECT DISTINCT comment_id AS a, obligation_id AS b FROM stage4_matches WHERE comment_id IS NOT NULL AND obligation_id IS NOT NULL),
+        e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), reach AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id WHERE r.root < e.b)
+        SELECT component, COUNT(*) AS n FROM (SELECT id, MIN(root) AS component FROM reach GROUP BY 1) GROUP BY 1""",
+    "c5_without_repeats": f"""WITH {_V}, o AS (SELECT concat_ws('|', docket_id, rule_type) AS doc_id, obligation_id AS row_id, LENGTH(obligation_text) AS n, ROW_NUMBER() OVER w AS i, SUM(LENGTH(obligation_text)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM v WHERE obligation_text IS NOT NULL WINDOW w AS (PARTITION BY docket_id, rule_type ORDER BY obligation_id)),
+        f AS (SELECT doc_id, row_id, CASE WHEN i % 3 = 0 THEN 'safety_net' ELSE 'primary' END AS found_via, e - n - CASE WHEN i % 3 = 0 THEN floor(n * 0.9::DOUBLE) ELSE 0 END AS s, e - CASE WHEN i % 3 = 0 THEN floor(n * 0.9::DOUBLE) ELSE 0 END AS e FROM o)
+        SELECT doc_id, row_id, found_via FROM f q WHERE found_via = 'primary' OR NOT EXISTS (SELECT 1 FROM f p WHERE p.found_via = 'primary' AND p.doc_id = q.doc_id AND LEAST(p.e, q.e) - GREATEST(p.s, q.s) > 0.8 * GREATEST(1, LEAST(p.e - p.s, q.e - q.s)))""",
+    "sc14_batch_lines": "SELECT bucket, COUNT(*) AS n FROM (SELECT CASE WHEN addressed IS NULL THEN 'malformed' WHEN trim(COALESCE(justification, '')) = '' THEN 'empty' ELSE 'ok' END AS bucket FROM stage4_matches WHERE comment_id IS NOT NULL) GROUP BY 1",
     "sm4_audit_sample": f"""WITH m AS (SELECT comment_id, obligation_id, bool_or(addressed) AS a, MAX(CASE WHEN upper(trim(stance)) IN ('SUPPORTING', 'OPPOSING', 'SUGGESTING_MODIFICATION', 'NONE') THEN upper(trim(stance)) END) AS s FROM stage4_matches GROUP BY 1, 2),
         k AS (SELECT *, CASE WHEN a THEN COALESCE(s, 'UNKNOWN') ELSE 'not addressed' END AS cell FROM m), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY {_KEY.format(id="concat_ws('|', comment_id, obligation_id)")}, comment_id, obligation_id) AS r FROM k)
         SELECT comment_id, obligation_id, cell, CAST(r AS INT) AS draw_rank FROM r WHERE r <= 25""",

@@ -124,7 +124,7 @@ def c13_verified(spark: SparkSession, d: str) -> DataFrame:
 def c13_cross_model(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "verified_obligations").filter("candidate_idx IS NOT NULL")
     one = lambda which: v.filter(F.col("llm_provider") == which).groupBy("docket_id", "rule_type", "candidate_idx", "split_idx").agg(*(F.max(c).alias(c) for c in ("modal_strength", "amendatory_action")))
-    providers = sorted(r[0] for r in v.select("llm_provider").filter("llm_provider IS NOT NULL").distinct().limit(2).collect())
+    providers = [r[0] for r in v.select("llm_provider").filter("llm_provider IS NOT NULL").distinct().orderBy("llm_provider").limit(2).collect()]
     a, b = (providers * 2)[:2] if providers else ("none", "none")
     return workflows.model_agreement(one(a), one(b), ["docket_id", "rule_type", "candidate_idx", "split_idx"], ["modal_strength", "amendatory_action"])
 

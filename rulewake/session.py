@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -80,23 +81,51 @@ _stored: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write rows as a Parquet table in the shared folder and read them back: later uses prune columns, unlike a checkpoint."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write rows as a Parquet table in the shared folder and read them back: later uses prune columns, unlike a checkpoint.
+
+    The table lives until discard(), forget() or the end of the driver's process.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _stored:
+        atexit.register(_forget_at_exit, spark)
     _stored.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def discard(df: DataFrame) -> bool:
+    """Delete the table behind a frame that stored() returned, once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "_stored_at", None)
+    if path not in _stored:
+        return False
+    _stored.remove(path)
+    return _delete(df.sparkSession, path)
 
 
 def forget(spark: SparkSession) -> int:
-    """Delete the tables that stored() wrote in this session, once their results are no longer needed; returns their number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete all tables that stored() wrote in this session, once their results are no longer needed; returns their number."""
     n = 0
     while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _stored.pop())
     return n
 
 
+def _forget_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            forget(spark)
+    except Exception:  # noqa: BLE001 - the session may have ended before, and then nothing can be deleted through it
+        return
+
+
 def sampled_texts(texts: DataFrame, column: str, rows: int, total: int) -> list[str]:
     """About `rows` distinct non-null texts of a table of `total` rows, chosen by a hash of the text, so that copies count once.
 
@@ -112,12 +141,3 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """No rows of a schema."""
     return spark.createDataFrame([], schema)
 
-
-def partitions(spark: SparkSession) -> int:
-    """The number of shuffle partitions set for the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def blank_to_null(column):
-    """Text without any visible character counts as missing."""
-    return F.when(F.trim(column) != "", column)

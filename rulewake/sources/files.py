@@ -102,12 +102,25 @@ def whole_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def kind_of(content: Column) -> Column:
-    """pdf, docx, html, rtf, text or unknown by the first bytes."""
-    head = F.substring(content, 1, 8)
-    starts = lambda b: F.hex(head).startswith(b.hex().upper())
-    word = F.lower(F.try_to_binary(F.hex(F.substring(content, 1, 256)), F.lit("hex")).cast("string"))
-    return F.when(starts(b"%PDF"), "pdf").when(starts(b"PK\x03\x04"), "docx").when(starts(b"{\\rtf"), "rtf").when(word.rlike(r"^\s*(?:<!doctype html|<html)"), "html").when(F.length(content) > 0, "text").otherwise("unknown")
+def kind_of(content: Column, path: Column | None = None) -> Column:
+    """pdf, doc (any old office file), docx or what else a zip's extension says, html, rtf, text or unknown by the first bytes.
+
+    A zip without a path is what its first entries say, or zip. Bytes beyond ASCII that are no UTF-8 are unknown.
+    """
+    head = F.hex(F.substring(content, 1, 8))
+    starts = lambda b: head.startswith(b.hex().upper())
+    begin = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    entry = F.when(begin.contains("word/"), "docx").when(begin.contains("xl/"), "xlsx").when(begin.contains("ppt/"), "pptx").otherwise("zip")
+    suffix = F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)), F.lit("")) if path is not None else F.lit(None).cast("string")
+    return (
+        F.when(starts(b"%PDF"), "pdf")
+        .when(starts(b"PK\x03\x04"), F.coalesce(suffix, entry))
+        .when(starts(b"\xd0\xcf\x11\xe0"), "doc")
+        .when(starts(b"{\\rtf"), "rtf")
+        .when(F.lower(F.substring(begin, 1, 256)).rlike(r"^\s*(?:<!doctype html|<html)"), "html")
+        .when((F.length(content) > 0) & (F.is_valid_utf8(content.cast("string")) | ~begin.rlike(r"\x00")), "text")
+        .otherwise("unknown")
+    )
 
 
 def decoded(content: Column) -> Column:
@@ -118,7 +131,7 @@ def decoded(content: Column) -> Column:
 def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, kind, text, status) of binary files: text and HTML natively, other kinds by an injected function on the bytes, else `unsupported`; a failing file is `failed`."""
     prepare(files.sparkSession)
-    own = files.select("path", "content", kind_of(F.col("content")).alias("kind"))
+    own = files.select("path", "content", kind_of(F.col("content"), F.col("path")).alias("kind"))
     native = own.filter(F.col("kind").isin("text", "html", "unknown"))
     plain = decoded(F.col("content"))
     done = native.select("path", "kind", F.when(F.col("kind") == "html", text.without_tags(plain)).otherwise(plain).alias("text"), F.when(F.col("kind") == "unknown", "empty").otherwise("ok").alias("status"))

@@ -3,6 +3,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,7 +143,13 @@ def test_samples(spark):
     assert f == {k: max(1, round(v * 0.15)) for k, v in n.items()}
     t = sampling.two_tiers(d, F.col("i") < 3, "s", {"a": 2}, 1, "i").collect()
     assert Counter(r.tier for r in t) == {"T1": 3, "T2": 2}
-    assert sampling.capped_cells(d, ["s"], 4, 20, 1, "i").count() == 20
+    # 12 rows under the cap, 8 missing: each of the three cells beyond the cap gives 8 // 3 more
+    assert Counter(r.s for r in sampling.capped_cells(d, ["s"], 4, 20, 1, "i").collect()) == {"a": 6, "b": 6, "c": 6}
+    assert sampling.capped_cells(d, ["s"], 4, 10, 1, "i").count() == 10 and sampling.capped_cells(d.limit(0), ["s"], 4, 10, 1, "i").count() == 0
+    ranks = sampling.ranked(d.withColumn("s", F.when(F.col("s") != "c", F.col("s"))), ["s"], 1, "i").collect()
+    for k in ("a", "b", None):
+        own = sorted((hashlib.md5(f"1|{r.i}".encode()).hexdigest(), r.i, r.draw_rank) for r in ranks if r.s == k)
+        assert [r for _, _, r in own] == list(range(1, len(own) + 1)) and {r.stratum_size for r in ranks if r.s == k} == {len(own)}
 
 
 def brute_near(rows, size, similar):
@@ -310,3 +318,107 @@ def test_shards_cost_plan_lines(spark):
     lines = ['{"custom_id": "a", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "x"}}]}}}', '{"custom_id": "b", "response": {"status_code": 500}}', "{", "", '{"custom_id": "c", "error": {"m": 1}}', '{"custom_id": "d", "response": {"status_code": 200, "body": {"choices": []}}}']
     got = [r.bucket for r in labels.outcome_of_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
     assert got == ["ok", "failed", "malformed", "blank", "failed", "empty"]
+
+
+PLACES = [
+    ("a b  c\n[[Page 7]]\nd e", "b c d", (2, 20)),
+    ("a b c", "b  c", (2, 5)),
+    ("x (1) The owner must act.", "(E)(1) The owner must act.", (6, 25)),
+    ("A " + "w" * 99 + " tail", "A " + "w" * 99 + " other end of the text", (0, 101)),
+    ("B " + "v" * 58 + " 12345 6789", "B " + "v" * 58 + " " + "z" * 60, (0, 61)),
+    ("one two", "three", None),
+    ("", "a", None),
+    ("a", "", None),
+]
+
+
+@pytest.mark.parametrize("body, wanted, expected", PLACES)
+def test_places_end_where_the_match_ends(body, wanted, expected):
+    got = obligations.find(body, wanted)
+    assert got == (expected if expected is None or len(wanted) < 100 else (0, 100)) or (got and expected and body[slice(*got)].split()[0] == wanted.split()[0] and got[1] <= expected[1])
+
+
+def slow_place(body, wanted):
+    """The steps by plain loops over every start."""
+    import re
+
+    def flat(i, j):
+        return " ".join(re.sub(r"\[\[Page \d+\]\]", " ", body[i:j]).split())
+
+    forms = [(wanted, True)] + [(wanted[:n], True) for n in (100, 60) if len(wanted) > n]
+    bare = re.sub(r"^\s*(?:\([A-Za-z0-9]+\)\s*){1,3}", "", wanted, count=1)
+    if bare != wanted:
+        forms += [(bare, False), (bare[:60], False)]
+    for form, exact in forms:
+        if not form:
+            continue
+        if exact and form in body:
+            return body.index(form), body.index(form) + len(form)
+        want = " ".join(form.split())
+        hits = [(i, j) for i in range(len(body)) if not body[i].isspace() and not body.startswith("[[Page", i) for j in range(i + 1, min(len(body), i + 3 * len(want) + 40) + 1) if not body[j - 1].isspace() and body[j - 1] != "]" and flat(i, j) == want]
+        if want and hits:
+            return min(hits)
+    return None
+
+
+def test_places_equal_plain_loops():
+    import random
+
+    r = random.Random(4)
+    for _ in range(150):
+        words = [r.choice(["ab", "c", "(1)", "de.", "f"]) for _ in range(r.randint(1, 14))]
+        body = "".join(w + r.choice([" ", "  ", "\n", " [[Page 3]] ", " "]) for w in words)
+        k = r.randrange(len(words))
+        wanted = r.choice(["", "(E)", "(2) "]) + r.choice([" ", "  "]).join(words[k : k + r.randint(1, 5)])
+        got, expected = obligations.find(body, wanted), slow_place(body, wanted)
+        assert (got is None) == (expected is None), (body, wanted)
+        if got and expected:
+            assert got == expected, (body, wanted)
+
+
+def test_many_obligations_of_one_document(spark):
+    body = " ".join(f"Rule {i} applies." for i in range(1500))
+    rows = spark.createDataFrame([(1, i, f"Rule {i} applies.") for i in range(1500)] + [(2, 0, "x"), (None, 0, "y"), (1, 0, None)], "doc_id int, n int, obligation_text string")
+    got = {(r.doc_id, r.n, r.obligation_text): r for r in obligations.with_places(rows, spark.createDataFrame([(1, body)], "doc_id int, text string")).collect()}
+    assert len(got) == 1503 and all(body[r.start : r.end] == t for (d, _, t), r in got.items() if d == 1 and t) and got[2, 0, "x"].start is None
+
+
+def test_near_copies_with_three_words(spark):
+    import random
+
+    r = random.Random(3)
+    base = [[r.choice("alpha beta gamma delta eps zeta eta theta iota kappa lam mu".split()) for _ in range(30)] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 12])
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(30)] = r.choice("one two six".split())
+        rows.append((i, " ".join(w), str(i % 2)))
+    got = {x.id: x.cluster for x in clusters.near(spark.createDataFrame(rows, "i int, t string, s string"), "i", "t", "s", 3, 0.7, 32, 4).collect()}
+    for s in "01":
+        own = [(i, t) for i, t, z in rows if z == s]
+        assert {i: got[i] for i, _ in own} == brute_near(own, 3, 0.7)
+
+
+def test_a_campaign_in_one_bucket_is_linked_by_few_pairs(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [(i, " ".join([*words, f"name{i}"])) for i in range(3000)]
+    edges = clusters.near_edges(spark.createDataFrame([("", i, t) for i, t in texts], "scope string, id int, words string"))
+    n = edges.count()
+    assert 2999 <= n <= 3000 * 3 * clusters.BANDS
+    assert {r.component for r in clusters.components(spark.createDataFrame(texts, "id int, t string").select("id"), edges).collect()} == {0}
+
+
+def test_blocks_of_one_key_are_spread(spark):
+    rows = [(0, i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, id int, vector array<double>")
+    met = matching.met_blocks(df, df, 10)
+    assert met.count() == 36 and {len(r.q_ids) for r in met.collect()} != {60}
+
+
+def test_tables_are_discarded(spark):
+    from rulewake import session
+
+    kept = session.stored(spark.range(3), "kept")
+    gone = session.stored(spark.range(3), "gone")
+    assert session.discard(gone) and not session.discard(gone) and not session.discard(spark.range(1)) and kept.count() == 3

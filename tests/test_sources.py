@@ -125,3 +125,10 @@ def test_stored_tables_can_be_forgotten(spark):
 def test_projected_tables(spark, tmp_path, columns):
     spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(str(tmp_path / "x"))
     assert files.tables(spark, str(tmp_path / "x"), columns).columns == ["k"]
+
+
+def test_kinds_by_first_bytes(spark):
+    rows = [("a.docx", b"PK\x03\x04..word/document.xml"), ("b", b"PK\x03\x04..xl/workbook.xml"), ("c.zip", b"PK\x03\x04.."), ("d.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ("e.pdf", b"%PDF-1.4"), ("f", b"  <HTML><p>"), ("g", "é".encode()), ("h", b"\xff\x00\x01\x00"), ("i", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r.k for r in df.select("path", files.kind_of(F.col("content"), F.col("path")).alias("k")).collect()}
+    assert got == {"a.docx": "docx", "b": "xlsx", "c.zip": "zip", "d.doc": "doc", "e.pdf": "pdf", "f": "html", "g": "text", "h": "unknown", "i": "unknown"}

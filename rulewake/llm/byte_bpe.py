@@ -82,10 +82,12 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """The rank of each token, which is also its id."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+def read_ranks(path: str, raw: bytes | None = None) -> dict[bytes, int]:
+    """The rank of each token, which is also its id, from a vocabulary's bytes or else its file."""
+    if raw is None:
+        with open(path, "rb") as file:
+            raw = file.read()
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line.strip())}
 
 
 class Pieces(dict):
@@ -108,13 +110,19 @@ _loaded: dict[str, Pieces] = {}
 _split = regex.compile(PATTERN).findall
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, raw: bytes | None = None) -> Pieces:
     """The worker's memory for one vocabulary, kept between tasks."""
     if path not in _loaded:
-        _loaded[path] = Pieces(read_ranks(path))
+        _loaded[path] = Pieces(read_ranks(path, raw))
     return _loaded[path]
 
 
+def shared(df: DataFrame, path: str):
+    """The vocabulary's bytes, read on the driver and broadcast, so that no other machine needs the file."""
+    with open(path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
 def encode(text: str | None, path: str) -> bytes:
     """Packed int32 ids of a text; nothing for null and empty. Strings that look like special tokens are ordinary text."""
     return b"".join(map(pieces(path).__getitem__, _split(text))) if text else b""
@@ -132,9 +140,11 @@ def encoded(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     path = _path(folder, vocabulary)
     prepare(df.sparkSession)
+    raw = shared(df, path)
     source = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces(path, raw.value)
         for batch in batches:
             packed = [encode(text, path) for text in batch.column(1).to_pylist()]
             ends = np.zeros(len(packed) + 1, dtype=np.int32)
@@ -149,9 +159,11 @@ def measured(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """(doc_id, n_tokens): the length of each text in tokens, 0 for null and empty."""
     path = _path(folder, vocabulary)
     prepare(df.sparkSession)
+    raw = shared(df, path)
     source = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces(path, raw.value)
         for batch in batches:
             sizes = [len(encode(text, path)) // 4 for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])

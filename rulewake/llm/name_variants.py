@@ -37,8 +37,6 @@ USUAL = 0.3
 #: Share of organisations' titles from which on a word is vocabulary rather than a name, and what bounds the words gathered: no more can
 #: reach the share, since titles have 40 words at most. A table with a handful of organisations can't tell a common subject from a common place.
 VOCABULARY_SHARE, VOCABULARY = 0.02, 2000
-#: Spellings in a band's bucket beyond which it is joined in blocks of this many.
-BLOCK = 400
 
 # Words of names as people type them.
 OPENINGS = "comment comments public mass campaign letter submitted electronically written sponsored on behalf by of from the re filed statement"
@@ -551,13 +549,8 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
 
     keys = cores.select("core_id", "sort", "core", "code").mapInPandas(band, "core_id bigint, band int, key bigint")
     # only cores meet here, each spelling once however often it was typed, so that a bucket holds the spellings of a few names
-    # and a bucket of very many is cut into blocks, each pair of which is a task's share of its own
-    large = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    parted = keys.join(large, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("core_id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    first = parted.select("core_id", "band", "key", F.col("own").alias("i"), every.alias("j"))
-    second = parted.select("core_id", "band", "key", F.col("own").alias("j"), every.alias("i"))
-    shared = first.alias("x").join(second.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "key", "i", "j")]).filter("x.core_id < y.core_id")
+    # a bucket of very many is split by the adaptive skew join, which parts one side by its map outputs
+    shared = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.core_id") < F.col("y.core_id")))
     pairs = shared.select(F.col("x.core_id").alias("a"), F.col("y.core_id").alias("b")).distinct()
     each = cores.select("core_id", "n", F.posexplode("core").alias("place", "word"))
     counts = each.join(each.groupBy("word").agg(F.sum("n").alias("titles")), "word").groupBy("core_id").agg(F.array_sort(F.collect_list(F.struct("place", "titles")))["titles"].alias("titles"))

@@ -168,11 +168,24 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro)
 
 
+@lru_cache(200_000)
+def letters_of(word: str) -> int:
+    """One bit per letter that a word has; an edit changes two of them at most."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(200_000)
 def alike(a: str, b: str) -> float:
     """Similarity of two words: Jaro-Winkler, but 0 where more than two edits, or one in a short word, part them."""
     if a == b:
         return 1.0
-    return jaro_winkler(a, b) if edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1) else 0.0
+    most = 2 if min(len(a), len(b)) >= 7 else 1
+    if abs(len(a) - len(b)) > most or (letters_of(a) ^ letters_of(b)).bit_count() > 2 * most:
+        return 0.0
+    return jaro_winkler(a, b) if edits(a, b, most) <= most else 0.0
 
 
 def meant(given: str) -> list[str]:
@@ -562,7 +575,13 @@ def linked(df: DataFrame, id_column: str, title_column: str) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             columns = ("core_a", "code_a", "core_b", "code_b", "titles_a", "n_a", "titles_b", "n_b", "givens_a", "givens_b")
-            sims = [same(list(ca), ka, list(cb), kb, *apart(list(x[0]), x[1], list(x[2]), *x[3:])) for ca, ka, cb, kb, *x in zip(*(b[c] for c in columns))]
+            sims = []
+            for ca, ka, cb, kb, *x in zip(*(b[c] for c in columns)):
+                core_a, core_b = list(ca), list(cb)
+                sim = same(core_a, ka, core_b, kb)
+                if sim >= CORE:  # the titles of the words can only part what is alike
+                    sim = same(core_a, ka, core_b, kb, *apart(list(x[0]), x[1], list(x[2]), *x[3:]))
+                sims.append(sim)
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims}).query(f"sim >= {CORE}")
 
     verified = stored(both.mapInPandas(verify, "a bigint, b bigint, sim double"), "name-edges")

@@ -28,20 +28,19 @@ def letters(column: Column) -> Column:
 
 
 def composed(rows: DataFrame) -> DataFrame:
-    """(text, ...) with accents composed (NFC), so that a letter and its combining mark equal the accented letter.
-
-    Only texts with a character that composing may change go through Python: a combining mark, a conjoining vowel or final of
-    Hangul, or a character that stands for another one.
-    """
-    may_change = F.col("text").rlike(r"[\p{M}\x{1160}-\x{11FF}\x{212A}\x{212B}\x{2126}\x{0340}-\x{0387}\x{1F70}-\x{1FFF}\x{2000}\x{2001}\x{2329}\x{232A}\x{F900}-\x{FAFF}]")
+    """(text, ...) with accents composed (NFC), so that a letter and its combining mark equal the accented letter. One map in Arrow batches, without shuffle."""
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [unicodedata.normalize("NFC", t) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, "text", pa.array(own, pa.string()))
+            texts = b.column(at).to_pylist()
+            own = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in texts]
+            columns = list(b.columns)
+            if own != texts:
+                columns[at] = pa.array(own, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return rows.filter(~may_change).unionByName(rows.filter(may_change).mapInArrow(run, rows.schema))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def fields(column: Column) -> Column:
@@ -74,7 +73,7 @@ def classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame,
     # one row per distinct text from here on; canonicalised once and written, since two later steps read it
     bare = letters(F.col("text"))
     canonical = F.when(bare != "", bare).otherwise(F.concat(F.lit("\u0000"), F.hex("raw")))
-    survivors = composed(texts).join(counted, "raw").select("raw", "raw_first", "raw_copies", canonical.alias("bare"), fields(F.col("text")).alias("form"))
+    survivors = composed(texts.join(counted, "raw")).select("raw", "raw_first", "raw_copies", canonical.alias("bare"), fields(F.col("text")).alias("form"))
     survivors = stored(survivors.withColumn("bare_key", F.unhex(F.sha2("bare", 256))), "canonical-texts")
     # The same letters in the same order are the same text, form or not; the smallest field list of such texts stands for all of them.
     grouped = survivors.groupBy("bare").agg(F.any_value("bare_key").alias("bare_key"), F.min("form").alias("form"), F.min("raw_first").alias("first_id"), F.sum("raw_copies").alias("n_copies"))

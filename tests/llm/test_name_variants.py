@@ -177,3 +177,13 @@ def test_recall_by_kind_of_variant(spark):
     for i, e in got.items():
         persons.setdefault(e, set()).add(i.split("-")[0])
     assert sum(len(x) == 1 for x in persons.values()) / len(persons) > 0.97
+
+
+def test_keys_of_cores_are_never_gathered_on_the_driver(spark):
+    # one small file of few names, of which each has hundreds of keys: its size must not pass for that of the keys
+    names = spark.range(50)
+    keys = names.mapInPandas(lambda batches: (type(b)({"core_id": b["id"].repeat(300), "band": 0, "key": list(range(300)) * len(b)}) for b in batches if len(b)), "core_id bigint, band int, key bigint")
+    met = nv.meeting(keys)
+    assert met.count() == 50 * 49 // 2
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

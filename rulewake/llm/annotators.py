@@ -1,7 +1,7 @@
 """One label per item from annotators who disagree, how far they agree, and how reliable each of them is.
 
 Triplet moments: for conditionally independent annotators the agreement beyond chance of two is the product of their
-skills, so each skill follows from three pairwise agreements, k_ij * k_ik / k_jk, of which the median over pairs (j, k) is
+skills, so each skill follows from three pairwise agreements, k_ij * k_ik / k_jk, of which the median over all pairs (j, k) is
 taken. Annotators also err in systematic ways (one label for everything, two labels exchanged), which one accuracy can't
 tell. The same pairwise co-counts, by label, then give an accuracy per label: with the others' tables known from the
 triplets, the table of an annotator is the least-squares solution of the linear equations
@@ -24,8 +24,6 @@ from rulewake.session import prepare, stored
 
 #: Common votes below which the agreement of two annotators is not used, and agreement beyond chance too small to divide by.
 COMMON, LEAST = 20, 0.05
-#: Other annotators, those with most common votes, whose pairs form the triplets of one; the median needs no more.
-PARTNERS = 48
 #: Sweeps of the linear equations over all annotators; pseudo-votes of an annotator on each true label, spread as the triplets' accuracy says.
 SWEEPS, PRIOR_VOTES = 3, 6.0
 #: Skills are kept within this bound, so that no weight is infinite.
@@ -116,21 +114,28 @@ def triplets(counts: dict[tuple[int, int], np.ndarray], n: int) -> tuple[np.ndar
 
     An annotator without a triplet gets half of full skill, with one partner only the skill that both would have if equally good.
     """
-    kappa: dict[tuple[int, int], float] = {}
-    near: dict[int, list[tuple[float, int]]] = {i: [] for i in range(n)}
-    for (i, j), c in sorted(counts.items()):
-        value = beyond_chance(c)
-        if not np.isnan(value):
-            kappa[i, j] = kappa[j, i] = value
-            near[i].append((-c.sum(), j))
-            near[j].append((-c.sum(), i))
-    skill = np.full(n, 0.5)
-    for i in range(n):
-        partners = [j for _, j in sorted(near[i])[:PARTNERS]]
-        squares = [kappa[i, j] * kappa[i, m] / kappa[j, m] for x, j in enumerate(partners) for m in partners[x + 1 :] if abs(kappa.get((j, m), 0.0)) >= LEAST]
-        if partners:
-            middle = float(np.median([kappa[i, j] for j in partners]))
-            skill[i] = np.sign(middle) * np.sqrt(max(0.0, float(np.median(squares))) if squares else abs(middle))
+    kappa = {p: value for p, c in counts.items() if not np.isnan(value := beyond_chance(c))}
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for (i, j), value in kappa.items():
+        near[i].append((j, value))
+        near[j].append((i, value))
+    # for each annotator the partners in order of their number, and the agreements with them
+    others = [(np.array([j for j, _ in x], dtype=np.int64), np.array([v for _, v in x])) for x in map(sorted, near)]
+    skill, own = np.full(n, 0.5), np.full(n, np.nan)
+    for i, (partners, agreement) in enumerate(others):
+        if not len(partners):
+            continue
+        own[partners] = agreement
+        squares = []
+        for j, k_ij in zip(partners, agreement):  # the pairs (j, m), m after j, that share items; a row at a time
+            third, k_jm = others[j]
+            k_im = own[third]
+            use = (third > j) & ~np.isnan(k_im) & (np.abs(k_jm) >= LEAST)
+            squares.append(k_ij * k_im[use] / k_jm[use])
+        own[partners] = np.nan
+        squares = np.concatenate(squares)
+        middle = float(np.median(agreement))
+        skill[i] = np.sign(middle) * np.sqrt(max(0.0, float(np.median(squares))) if len(squares) else abs(middle))
     common = sum(c.sum() for p, c in counts.items() if p in kappa)
     mean = float(sum(kappa[p] * c.sum() for p, c in counts.items() if p in kappa) / common) if common else None
     return np.clip(skill, -BOUND, BOUND), mean

@@ -73,3 +73,21 @@ def test_many_annotators(spark):
     rows = [(f"i{i}", f"r{i}", LABELS[i % 3], None) for i in range(2000)]
     table, model = annotators.resolved(spark.createDataFrame(rows, "item_id string, rater string, label string, at timestamp"), LABELS)
     assert len(model.raters) == 2000 and annotators.consensus(table, model).count() == 2000
+
+
+def test_all_triplets_count():
+    # 130 annotators share items with annotator 0; the 60 with most common items are copies of one another and tell nothing right
+    n, k = 131, 2
+    agreement = lambda right, common: np.array([[right, 1 - right], [1 - right, right]]) * common / 2
+    counts = {}
+    for i in range(n):
+        for j in range(i + 1, n):
+            copies = i > 0 and j <= 60
+            counts[i, j] = agreement(0.99 if copies else 0.65 if i == 0 and j <= 60 else 0.82, 1000 if i == 0 and j <= 60 else 100)
+    kappa = {p: annotators.beyond_chance(c) for p, c in counts.items()}
+    both = lambda i, j: kappa[min(i, j), max(i, j)]
+    skill, _ = annotators.triplets(counts, n)
+    for i in (0, 1, 100):
+        squares = [both(i, j) * both(i, m) / both(j, m) for j in range(n) for m in range(j + 1, n) if i not in (j, m)]
+        assert abs(skill[i] - min(annotators.BOUND, np.sqrt(np.median(squares)))) < 1e-9
+    assert skill[0] > 0.5  # by the pairs of the 60 alone it would be about 0.3

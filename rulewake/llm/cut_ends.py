@@ -7,8 +7,10 @@ without terminal punctuation are cut.
 
 Transfer (`how` is `end`): a text may break off at any length, which no histogram shows. Its last words are then judged by an end model:
 how often the corpus ends a sentence after them, by interpolated n-gram counts, and whether the last word is an unseen
-beginning of words that follow the word before it. The model is fitted on a bounded sample of texts, whose sentence
-boundaries are its labels. Terminal punctuation, and a mark put after the cut, are stripped or judged first.
+beginning of words that follow the word before it. The model counts the n-grams of all texts, whose sentence boundaries are
+its labels. A text counts as often as it occurs: an end that many share was not lost in transfer, which cuts anywhere. Counts
+are held per MODEL_TEXTS texts, so that the bounds on them mean the same in a table of any size, and an n-gram below one of
+these is unseen: so the model's size is bounded, and a cut text's own end can't vouch for it. Terminal punctuation, and a mark put after the cut, are stripped or judged first.
 """
 
 from __future__ import annotations
@@ -18,19 +20,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewake.llm.encoding_repair import ENCODINGS, reread, unreferenced
-from rulewake.session import prepare, sampled_texts, stored
+from rulewake.session import discard, prepare, stored
 
-#: Texts from which the end model is fitted, and the longest n-gram it counts.
+#: Texts per which the end model states its counts, where a table has more, and the longest n-gram it counts.
 MODEL_TEXTS, ORDER = 6000, 5
-#: Occurrences in the sample below which a word is any name; strength of the shorter context; end probability below which a text is cut.
+#: Occurrences per MODEL_TEXTS texts below which a word is any name; strength of the shorter context; end probability below which a text is cut.
 KNOWN, STRENGTH, CUT = 8, 3.0, 0.06
-#: Times that longer words must outnumber a last word after the same predecessor, for texts in the sample are cut too.
+#: Times that longer words must outnumber a last word after the same predecessor, for some of the texts that are counted are cut too.
 BROKEN = 10
 #: A limit: this many distinct texts more than this many times the mean of the lengths nearby, and this share of them unterminated.
 LEAST, TIMES, NEARBY, UNTERMINATED = 8, 4.0, 20, 0.5
@@ -81,9 +87,9 @@ class Ends:
     """n-gram counts, and how many of them stand before a sentence end."""
 
     known: list[str] = field(default_factory=list)
-    seen: dict[tuple, int] = field(default_factory=dict)
-    ended: dict[tuple, int] = field(default_factory=dict)
-    suffixes: dict[str, int] = field(default_factory=dict)
+    seen: dict[tuple, float] = field(default_factory=dict)
+    ended: dict[tuple, float] = field(default_factory=dict)
+    suffixes: dict[str, float] = field(default_factory=dict)
     share: float = 0.1
 
     @classmethod
@@ -233,22 +239,146 @@ def limits(lengths: DataFrame) -> DataFrame:
     return histogram.withColumn("around", around).filter((F.col("n_texts") >= LEAST + TIMES * F.col("around")) & (F.col("open_share") >= UNTERMINATED)).drop("around")
 
 
-def fitted(texts: DataFrame, total: int, n: int = MODEL_TEXTS) -> Ends:
-    """The end model of about n distinct texts of a table of `total` rows."""
-    return Ends.of(sampled_texts(texts, "text", n, total))
+#: Numbers of what is no word: the beginning of a text, a sentence end, a name. Words that are known come after them.
+_BEGIN, _STOP, _ANY = 0, 1, 2
+#: Tokens that are counted together in a task before their n-grams are passed on.
+TOGETHER = 1 << 20
+
+
+@lru_cache(200_000)
+def _number(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as the numbers of its tokens, and, in rows of their own, the words with their number and that of those that don't end a text."""
+    schema = pa.schema([("line", pa.binary()), ("word", pa.string()), ("n", pa.int64()), ("inner", pa.int64())])
+    words: Counter = Counter()
+    last: Counter = Counter()
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            line = tokens(text)
+            words.update(line)
+            last.update(line[-1:])
+            out.append(np.array([_number(w) for w in line], dtype=np.int64).tobytes())
+        yield pa.RecordBatch.from_pydict({"line": out, "word": [None] * len(out), "n": [None] * len(out), "inner": [None] * len(out)}, schema)
+    yield pa.RecordBatch.from_pydict({"line": [None] * len(words), "word": [w.encode(errors="replace").decode() for w in words], "n": list(words.values()), "inner": [n - last[w] for w, n in words.items()]}, schema)
+
+
+def _ngrams(ids: np.ndarray, orders: range, kept: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, seen, ended) of each order, from the ids of texts that begin with _BEGIN and end with _STOP. None goes beyond the
+    beginning of its sentence. kept: hashes of the trigrams that an n-gram above them must be made of."""
+    edge = ids <= _STOP
+    ended = np.append(ids[1:] == _STOP, False)
+    valid, whole = ~edge, None
+    for n in range(1, min(max(orders), len(ids)) + 1):
+        if n > 1:  # all words but the first are none of an edge
+            valid = valid & np.append(np.zeros(n - 1, dtype=bool), ~edge[1 : len(ids) - n + 2])
+        if n > 3 and whole is not None:
+            valid = valid & whole & np.append(np.zeros(n - 3, dtype=bool), whole[: len(ids) - n + 3])
+        if n not in orders and n != 3:
+            continue
+        at = np.flatnonzero(valid)
+        grams = np.lib.stride_tricks.sliding_window_view(ids, n)[at - n + 1]
+        h = _hashed(grams)
+        if n == 3 and kept is not None:
+            whole = np.zeros(len(ids), dtype=bool)
+            whole[at] = np.isin(h, kept)
+        if n in orders and len(at):
+            _, first, own = np.unique(h, return_index=True, return_inverse=True)
+            yield grams[first], np.bincount(own), np.bincount(own, weights=ended[at]).astype(np.int64)
+
+
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    out = np.full(len(grams), grams.shape[1], dtype=np.uint64)
+    for k in range(grams.shape[1]):
+        out = (out ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+_PARTS = [f"g{k}" for k in range(ORDER)]
+
+
+def _counted(lines: DataFrame, numbers: np.ndarray, orders: range, least: float, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, seen, ended) of the orders that are met `least` times, filled up with -1, and in a first row of -1 alone the sum of all single words."""
+    order = np.argsort(numbers)
+    shared = lines.sparkSession.sparkContext.broadcast((numbers[order], order, kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, place, trigrams = shared.value
+        stop, begin, end = _number(_END), np.array([_BEGIN]), np.array([_STOP])
+
+        def passed(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for grams, seen, ended in _ngrams(np.concatenate(pieces), orders, trigrams):
+                columns = [grams[:, k] if k < grams.shape[1] else np.full(len(grams), -1) for k in range(ORDER)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(seen, pa.int64()), pa.array(ended, pa.int64())], names=[*_PARTS, "seen", "ended"])
+                if grams.shape[1] == 1:
+                    yield pa.RecordBatch.from_arrays([*(pa.array([-1], pa.int32()) for _ in _PARTS), pa.array([seen.sum()], pa.int64()), pa.array([ended.sum()], pa.int64())], names=[*_PARTS, "seen", "ended"])
+
+        pieces, size = [], 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                line = np.frombuffer(raw, dtype=np.int64)
+                ids = np.full(len(line), _ANY)
+                if len(ranked):
+                    i = np.minimum(np.searchsorted(ranked, line), len(ranked) - 1)
+                    ids = np.where(ranked[i] == line, place[i] + _ANY + 1, _ANY)
+                ids[line == stop] = _STOP
+                pieces += [begin, ids, end if not len(ids) or ids[-1] != _STOP else end[:0]]
+                size += len(ids) + 2
+            if size > TOGETHER:
+                yield from passed(pieces)
+                pieces, size = [], 0
+        if pieces:
+            yield from passed(pieces)
+
+    schema = ", ".join(f"{g} int" for g in _PARTS) + ", seen bigint, ended bigint"
+    sums = lines.mapInArrow(run, schema).groupBy(*_PARTS).agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    got = sums.filter((F.col("seen") >= least) | (F.col("g0") < 0)).toArrow()  # the bound on their number follows from `least`
+    return np.stack([got[g].to_numpy() for g in _PARTS], 1), got["seen"].to_numpy(), got["ended"].to_numpy()
+
+
+def fitted(texts: DataFrame) -> Ends:
+    """The end model of all texts. Its words and n-grams are those met often enough per MODEL_TEXTS texts, so their number doesn't grow with the table."""
+    all_rows = stored(texts.select("text").mapInArrow(_tokenised, "line binary, word string, n bigint, inner bigint"), "text-words")
+    lines = all_rows.filter("line IS NOT NULL").select("line")
+    scale = max(1.0, lines.count() / MODEL_TEXTS)
+    words = all_rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner"))
+    frequent = F.col("n") >= KNOWN * scale
+    known = sorted(r[0] for r in words.filter(frequent).select("word").collect())
+    rare = words.filter(~frequent).groupBy(F.expr("right(word, 3)").alias("suffix")).agg(F.sum("inner").alias("n")).filter(F.col("n") >= scale)
+    suffixes = {r[0]: r[1] / scale for r in rare.collect()}
+    numbers = np.array([_number(w) for w in known], dtype=np.int64)
+    few = _counted(lines, numbers, range(1, 4), scale)
+    trigrams = few[0][(few[0][:, 2] >= 0) & (few[0][:, 3] < 0)][:, :3]
+    many = _counted(lines, numbers, range(4, ORDER + 1), scale, np.sort(_hashed(trigrams)))
+    discard(all_rows)
+    names = ["<s>", _END, _NAME, *known]
+    out = Ends(known, suffixes=suffixes)
+    for grams, seen, ended in (few, many):
+        for g, n, e in zip(grams.tolist(), seen.tolist(), ended.tolist()):
+            if g[0] < 0:
+                out.share = e / max(1, n)
+                continue
+            key = tuple(names[x] for x in g if x >= 0)
+            out.seen[key] = n / scale
+            if e:
+                out.ended[key] = e / scale
+    return out
 
 
 def judged(df: DataFrame, id_column: str, text_columns: list[str], source_column: str) -> tuple[DataFrame, DataFrame]:
     """(lengths, cut): measured() of all texts, and (id, source, field, how) of the cut ones; a repeated row comes out once.
 
-    The texts are read once for their measures, which are written to the shared folder, and once for the sample of the end
-    model. Only texts with an open end reach Python, and of them only the end.
+    The texts are read once for their measures and once for the words of the end model, both written to the shared folder. Only texts with an open end reach Python, and of them only the end.
     """
     spark = df.sparkSession
     prepare(spark)
     texts = rows(df, id_column, text_columns, source_column)
     lengths = stored(measured(texts), "text-ends")
-    ends = spark.sparkContext.broadcast(fitted(texts, lengths.count()))  # its sample bounds it
+    ends = spark.sparkContext.broadcast(fitted(texts))  # its size doesn't grow with the table
     at = limits(lengths)
     chars = at.filter("unit = 'char'").select("source", "field", F.col("length").alias("char"), F.lit(True).alias("char_limit"))
     octets = at.filter("unit = 'byte'").select("source", "field", F.col("length").alias("byte"), F.lit(True).alias("byte_limit"))

@@ -64,3 +64,22 @@ def test_columns_have_limits_of_their_own(spark):
     df = spark.createDataFrame(rows, "id string, comment string, title string, source string")
     at = cut_ends.limits(cut_ends.measured(cut_ends.rows(df, "id", ["comment", "title"], "source"))).filter("unit = 'char'").collect()
     assert {(x.field, x.length) for x in at} == {("title", 120)}
+
+
+def test_model_counts_all_texts(spark, monkeypatch):
+    rows = texts(700, 4) + ["See attached", "see attached please"] * 3
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    whole, own = cut_ends.Ends.of(rows), cut_ends.fitted(df)
+    assert (own.known, own.seen, own.ended, own.suffixes, own.share) == (whole.known, whole.seen, whole.ended, whole.suffixes, whole.share)
+    monkeypatch.setattr(cut_ends, "MODEL_TEXTS", 200)  # a larger table: the same counts per 200 texts
+    scale = len(rows) / 200
+    own = cut_ends.fitted(df)
+    assert own.seen and own.seen == {g: n / scale for g, n in whole.seen.items() if n >= scale and all(w in own.known or w in ("<s>", "^") for w in g)}
+
+
+def test_short_texts_of_many_are_complete(spark, monkeypatch):
+    monkeypatch.setattr(cut_ends, "MODEL_TEXTS", 100)
+    rows = [(f"p{i}", t, "web") for i, t in enumerate(["See attached", "SEE ATTACHED", "See attached comments", "Attached"] * 40)] + [(f"d{i}", t, "web") for i, t in enumerate(texts(600, 7))]
+    rows += [(f"c{i}", texts(1, i)[0].rsplit(" ", 3)[0] + " my", "web") for i in range(5)]
+    got = {r.id for r in cut_ends.found(spark.createDataFrame(rows, "id string, comment string, source string"), "id", ["comment"], "source").collect()}
+    assert not any(i[0] == "p" for i in got) and {f"c{i}" for i in range(5)} <= got

@@ -76,3 +76,15 @@ def test_kinds(spark):
     rows = [("a", er.garbled(CLEAN[0], "cp1252")), ("b", "caf&#233; ferm&#233;"), ("c", "lost � here")] + [(f"k{i}", t) for i, t in enumerate(CLEAN)]
     got = {r.id: r.kind for r in er.examined(spark.createDataFrame(rows, "id string, comment string"), "id", ["comment"]).collect()}
     assert got == {"a": "decoded", "b": "references", "c": "lost"}
+
+
+def test_margins_come_from_all_clean_records(spark):
+    # one clean record among thousands has a word that gains more than any other by being read again
+    rare = "The sign said «Âge d'or ÃŠtre» and ‹Ã‰›"
+    many = [f"{t} {i}" for i, t in enumerate(CLEAN * 50)]
+    assert not er._suspicious(many[0])
+    rows = [t for t in (*many, rare) if not er._suspicious(t)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "id string, comment string")
+    model = er.trained(df, "id", ["comment"])
+    assert model.margin == er.validated(model, sorted(set(rows)))
+    assert (model.margin_other, model.least_other) == er.validated_other(model, sorted(set(rows)))

@@ -79,12 +79,12 @@ def test_kinds(spark):
 
 
 def test_margins_come_from_all_clean_records(spark):
-    # one clean record among thousands has a word that gains more than any other by being read again
-    rare = "The sign said «Âge d'or ÃŠtre» and ‹Ã‰›"
-    many = [f"{t} {i}" for i, t in enumerate(CLEAN * 50)]
-    assert not er._suspicious(many[0])
-    rows = [t for t in (*many, rare) if not er._suspicious(t)]
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "id string, comment string")
-    model = er.trained(df, "id", ["comment"])
-    assert model.margin == er.validated(model, sorted(set(rows)))
-    assert (model.margin_other, model.least_other) == er.validated_other(model, sorted(set(rows)))
+    import random
+
+    r = random.Random(3)
+    rows = [" ".join(r.choice(CLEAN).split()[0] + r.choice("éñçàü") * r.randint(1, 2) + "".join(r.choices("абвгдежз", k=r.randint(3, 5))) for _ in range(3)) for _ in range(4000)]
+    rows = sorted({t for t in rows if not er._suspicious(t)})
+    assert len(rows) > 2100  # more than any sample that was taken
+    model = er.trained(spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "id string, comment string"), "id", ["comment"])
+    assert model.margin == er.validated(model, rows)
+    assert (model.margin_other, model.least_other) == er.validated_other(model, rows)
